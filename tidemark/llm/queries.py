@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, packing, tokenfile, urlfilter
+from tidemark.llm import bpe, packing, quality, tokenfile, urlfilter
+from tidemark.llm._common import fold
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,11 +50,25 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(items, capacity=2048)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    labels = _table(spark, sf_dir, "labels").where(fold("doc_id") != 1)
+    model = quality.fit(docs, labels, "quality")
+    scored = quality.score(docs.select("doc_id", "text"), model)
+    return scored.select(
+        "doc_id",
+        F.coalesce(fold("doc_id") == 1, F.lit(False)).alias("held_out"),
+        "score",
+        F.when(quality.accepted(F.col("score")), 1).otherwise(0).alias("predicted"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_url_filter": op2_url_filter,
     "op3_token_file": op3_token_file,
     "op7_packing": op7_packing,
+    "op6_quality": op6_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}
