@@ -15,21 +15,24 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The characters with the Unicode property White_Space, as a class body.
 WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 #: An optional space and a run of other characters, or white space; no match of the usual pattern crosses its bounds.
 CHUNK = re.compile(f" ?[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+(?![^{WHITE_SPACE}])|[{WHITE_SPACE}]+")
-#: Entries that a worker keeps for repeated chunks and pieces; when full, the store starts anew.
-CHUNKS_KEPT, PIECES_KEPT = 300_000, 500_000
+#: Entries that a worker keeps for repeated chunks and pieces; what comes after that is encoded for its batch only.
+CHUNKS_KEPT, PIECES_KEPT, JOINS_KEPT = 150_000, 300_000, 300_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -56,12 +59,12 @@ class PrefixBPE:
                     self.merged[a, b] = token
                     self.left[token], self.right[token] = a, b
                     break
-        #: All endings of tokens: the id where the ending is a token, else -1.
-        self.endings: dict[bytes, int] = {}
-        for data in ranks:
-            for cut in range(len(data)):
-                self.endings.setdefault(data[cut:], -1)
-        self.endings.update(ranks)
+        self.size = {i: len(b) for i, b in self.bytes_of.items()}
+        #: Finds all tokens that end at a byte, the longest first.
+        self.ends = ahocorasick.Automaton()
+        for data, token in ranks.items():
+            self.ends.add_word(data.decode("latin-1"), token)
+        self.ends.make_automaton()
 
     def _stays(self, a: int, b: int) -> bool:
         """Whether encoding the bytes of a and b together gives just a, b."""
@@ -90,30 +93,23 @@ class PrefixBPE:
 
     def extend(self, data: bytes, last: list[int]) -> list[int]:
         """Appends to last the entries of all prefixes of data that are longer than those it covers."""
-        endings, joins, stays = self.endings, self.joins, self._stays
-        for end in range(len(last) + 1, len(data) + 1):
-            best = -1
-            for begin in range(end - 1, max(0, end - self.longest) - 1, -1):
-                token = endings.get(data[begin:end])
-                if token is None:
-                    break
-                if token < 0:
-                    continue
-                if begin == 0:
-                    best = token
-                    break
+        joins, stays, size, done = self.joins, self._stays, self.size, len(last)
+        if len(joins) > JOINS_KEPT:
+            joins.clear()
+        for end, token in self.ends.iter(data.decode("latin-1")):
+            if end < done:
+                continue
+            if begin := end + 1 - size[token]:
                 pair = (last[begin - 1], token)
                 fits = joins.get(pair)
                 if fits is None:
-                    if len(joins) > 500_000:
-                        joins.clear()
                     fits = joins[pair] = stays(*pair)
-                if fits:
-                    best = token
-                    break
-            if best < 0:
-                raise ValueError(f"no token for byte {data[end - 1]}")
-            last.append(best)
+                if not fits:
+                    continue
+            last.append(token)
+            done += 1
+        if done < len(data):
+            raise ValueError(f"no token for byte {data[done]}")
         return last
 
     def ids(self, last: list[int]) -> list[int]:
@@ -129,18 +125,37 @@ class PrefixBPE:
         return [whole] if whole is not None else self.ids(self.extend(data, []))
 
     def edit(self, data: bytes, last: list[int], start: int, stop: int, new: bytes) -> tuple[bytes, list[int], int]:
-        """data with [start, stop) replaced, its entries, and how many of them were computed anew."""
+        """data with [start, stop) replaced, its entries, and how many of them were computed anew.
+
+        An entry follows from the longest - 1 bytes and entries before it; once that many agree with the old ones
+        behind the edit, so do all after them.
+        """
         out, state = data[:start] + new + data[stop:], last[:start]
-        shift, agree = len(new) - (stop - start), 0
+        back, step = stop - start - len(new), max(16, self.longest)
         while len(state) < len(out):
-            self.extend(out[: len(state) + 1], state)
-            old = len(state) - shift
-            agree = agree + 1 if old > stop and last[old - 1] == state[-1] else 0
-            if agree >= self.longest and len(state) - start - len(new) >= self.longest:
-                done = len(state) - start
-                return out, state + last[old:], done
+            upto = min(len(out), len(state) + step)
+            # What is looked at begins a longest token before the first open entry.
+            self._more(out, upto, state)
+            agree = 0
+            for at in range(len(state) - 1, start + len(new) - 1, -1):
+                if at + back >= len(last) or last[at + back] != state[at]:
+                    break
+                agree += 1
+            if agree >= self.longest:
+                return out, state + last[len(state) + back :], len(state) - start
         return out, state, len(state) - start
 
+    def _more(self, data: bytes, upto: int, last: list[int]) -> None:
+        """extend for the entries up to upto, looking at no more bytes than they need."""
+        off = max(0, len(last) - self.longest)
+        for end, token in self.ends.iter(data[off:upto].decode("latin-1")):
+            end += off
+            if end < len(last):
+                continue
+            begin = end + 1 - self.size[token]
+            if begin == 0 or self._stays(last[begin - 1], token):
+                last.append(token)
+
     def decode(self, ids) -> bytes:
         of = self.bytes_of
         return b"".join([of[i] for i in ids])
@@ -156,20 +171,23 @@ class TextEncoder:
         self.chunks: dict[str, bytes] = {}
         self.known: dict[bytes, bytes] = {}
 
-    def learn(self, pieces: set[bytes]) -> None:
+    def learn(self, pieces: set[bytes]) -> dict[bytes, bytes]:
         """Encodes pieces in sorted order, so that each goes on from the prefix it shares with the one before it."""
-        bpe, known, before, last = self.bpe, self.known, b"", []
+        bpe, out, before, last = self.bpe, {}, b"", []
         for data in sorted(pieces):
             whole = bpe.ranks.get(data)
             if whole is not None:
-                known[data] = whole.to_bytes(4, "little")
+                out[data] = whole.to_bytes(4, "little")
                 continue
             same, most = 0, min(len(last), len(data))
             while same < most and data[same] == before[same]:
                 same += 1
             del last[same:]
             before = data
-            known[data] = np.array(bpe.ids(bpe.extend(data, last)), "<u4").tobytes()
+            out[data] = array("I", bpe.ids(bpe.extend(data, last))).tobytes()
+        if len(self.known) < PIECES_KEPT:
+            self.known.update(out)
+        return out
 
     def split(self, chunk: str) -> list[str]:
         """The pattern's matches; letters, with one sign after them or none, need no pattern."""
@@ -183,19 +201,21 @@ class TextEncoder:
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
-        if len(self.chunks) > CHUNKS_KEPT:
-            self.chunks.clear()
-        if len(self.known) > PIECES_KEPT:
-            self.known.clear()
         chunks, known = self.chunks, self.known
         cut = CHUNK.findall if self.coarse else self.pieces.findall
         parts = [cut(x) if x else [] for x in texts]
-        new = {x: [p.encode() for p in self.split(x)] for x in set().union(*parts) if x not in chunks}
-        self.learn({p for ps in new.values() for p in ps if p not in known})
-        for x, ps in new.items():
-            chunks[x] = b"".join([known[p] for p in ps])
+        new = {x: None for x in set().union(*parts) if x not in chunks}
+        learnt = self.learn({p for x in new for p in map(str.encode, self.split(x)) if p not in known})
+        for x in new:
+            new[x] = b"".join([known[p] if p in known else learnt[p] for p in map(str.encode, self.split(x))])
+        full = len(chunks) >= CHUNKS_KEPT
+        chunks.update(new)
         get = chunks.__getitem__
-        return [b"".join(map(get, x)) for x in parts]
+        out = [b"".join(map(get, x)) for x in parts]
+        if full:
+            for x in new:
+                del chunks[x]
+        return out
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
@@ -206,7 +226,7 @@ def encoder(path: str, pattern: str) -> TextEncoder:
     return TextEncoder(PrefixBPE(read_ranks(path)), pattern)
 
 
-def portions(texts: list[str | None], chars: int = 10_000_000) -> Iterator[list[str | None]]:
+def portions(texts: list[str | None], chars: int = 3_000_000) -> Iterator[list[str | None]]:
     """Runs of texts that end as soon as they hold so many characters."""
     some, n = [], 0
     for x in texts:
@@ -219,35 +239,49 @@ def portions(texts: list[str | None], chars: int = 10_000_000) -> Iterator[list[
         yield some
 
 
+def slices(b: pa.RecordBatch, column: int, size: int = 3_000_000) -> Iterator[pa.RecordBatch]:
+    """Runs of rows that end as soon as the column's values hold so many bytes."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < b.num_rows:
+        upto = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + size)) + 1
+        yield b.slice(at, upto - at)
+        at = upto
+
+
+def _mapped(df: DataFrame, column: str, out: str, make: Callable[[], Callable[[list], list]]) -> DataFrame:
+    """df with out: what make()'s function gives for column's values; a few MB of them at a time."""
+    kept = [x for x in df.columns if x != out]
+    at = kept.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = make()
+        for b in batches:
+            for some in slices(b, at):
+                made = pa.array(f(some.column(at).to_pylist()), pa.binary())
+                yield pa.RecordBatch.from_arrays([*some.columns, made], [*kept, out])
+
+    schema = T.StructType([*(df.schema[x] for x in kept), T.StructField(out, T.BinaryType())])
+    return df.select(*(f"`{x}`" for x in kept)).mapInArrow(run, schema)
+
+
 def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
     """df with out: the ids of text as packed little-endian unsigned 32-bit integers (binary).
 
     Map-only: no shuffle; a worker holds the rank table, bounded stores and one Arrow batch.
     """
-
-    @F.pandas_udf("binary")
-    def packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        run = encoder(ranks_path, pattern).encode_all
-        for texts in batches:
-            out: list[bytes] = []
-            for some in portions(texts.tolist()):
-                out += run(some)
-            yield pd.Series(out, dtype=object)
-
-    return df.withColumn(out, packed(F.col(text)))
+    return _mapped(df, text, out, lambda: encoder(ranks_path, pattern).encode_all)
 
 
 def decode(df: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """df with out: the bytes of packed ids; null ids give null, an unknown id fails."""
 
-    @F.pandas_udf("binary")
-    def joined(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def make():
         ranks = read_ranks(ranks_path)
         of = [b""] * (max(ranks.values()) + 1)
         for data, i in ranks.items():
             of[i] = data
         get = of.__getitem__
-        for packs in batches:
-            yield pd.Series([None if x is None else b"".join(map(get, np.frombuffer(x, "<u4").tolist())) for x in packs], dtype=object)
+        return lambda packs: [None if x is None else b"".join(map(get, np.frombuffer(x, "<u4").tolist())) for x in packs]
 
-    return df.withColumn(out, joined(F.col(ids)))
+    return _mapped(df, ids, out, make)
