@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, packing, quality, tokenfile, urlfilter
+from tidemark.llm import bpe, langid, packing, quality, tokenfile, urlfilter
 from tidemark.llm._common import fold
 
 
@@ -63,12 +63,20 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.where(fold("doc_id") != 1))
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", F.coalesce(fold("doc_id") == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_url_filter": op2_url_filter,
     "op3_token_file": op3_token_file,
     "op7_packing": op7_packing,
     "op6_quality": op6_quality,
+    "op9_langid": op9_langid,
 }
 
 ORACLE_SQL: dict[str, str] = {}
