@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, embdedup, langid, packing, quality, tokenfile, urlfilter
+from tidemark.llm import ann, bpe, embdedup, langid, neardup, packing, quality, tokenfile, urlfilter
 from tidemark.llm._common import fold
 
 
@@ -78,6 +78,10 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embdedup.near_duplicates(_table(spark, sf_dir, "embeddings"), least=0.98)
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_url_filter": op2_url_filter,
@@ -87,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_langid": op9_langid,
     "op8_ann": op8_ann,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op4_near_dedup": op4_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
