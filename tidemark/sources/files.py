@@ -16,7 +16,8 @@ SKIPPED_ENDINGS = (".png", ".jpg", ".jpeg", ".gif", ".svg", ".ico", ".woff", ".w
 def project_files(spark: SparkSession, path: str, most: int = 500_000) -> DataFrame:
     """(path, language, content) of a tree, without large files, skipped folders, dot folders and binary endings."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where(F.col("length") <= most)
-    bad = F.col("path").rlike("/(" + "|".join(SKIPPED_FOLDERS) + r")/|/\.[^/]+/") | F.lower("path").rlike("(" + "|".join(x.replace(".", r"\.") for x in SKIPPED_ENDINGS) + ")$")
+    below = F.element_at(F.split("path", r"\Q" + path.rstrip("/").split(":", 1)[-1] + r"\E", 2), -1)
+    bad = below.rlike("/(" + "|".join(SKIPPED_FOLDERS) + r")/|/\.[^/]+/") | F.lower("path").rlike("(" + "|".join(x.replace(".", r"\.") for x in SKIPPED_ENDINGS) + ")$")
     return f.where(~bad).select("path", detect_language(F.col("path")).alias("language"), F.decode("content", "UTF-8").alias("content"))
 
 
@@ -74,7 +75,7 @@ def imports(files: DataFrame, path: str = "path", content: str = "content", lang
     return rows.select("src", dst.alias("dst")).where("src <> dst").distinct()
 
 
-GOAL = T.StructType.fromDDL("file_path string, goal_type string, target_score double, status string, created_at timestamp, updated_at timestamp, expires_at timestamp, note string, current_score double, previous_score double, set_by string")
+GOAL = "file_path string, goal_type string, target_score double, status string, created_at timestamp, updated_at timestamp, expires_at timestamp, note string, current_score double, previous_score double, set_by string"
 
 
 def json_store(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
