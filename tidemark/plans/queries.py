@@ -166,7 +166,7 @@ def sample_points(spark, sf):
     return spark.createDataFrame([(i,) for i in history.sample_points(100, 5)], "i bigint")
 
 
-@query("TMP18_decay_index", """with d as (select s_suppkey path, least(10.0, greatest(0.0, s_acctbal / 1000)) a, s_nationkey % 11 b, s_suppkey % 7 c, s_nationkey % 5 d, s_suppkey % 3 e from supplier), x as (select path, 0.0 + 0.35 * a + 0.25 * least(10, b) + 0.2 * c + 0.1 * d + 0.1 * e v from d)
+@query("TMP18_decay_index", """with d as (select s_suppkey path, least(10.0, greatest(0.0, s_acctbal / 1000)) a, least(10, s_nationkey % 11) b, s_suppkey % 7 c, s_nationkey % 5 d, s_suppkey % 3 e from supplier), x as (select path, 0::double + 0.35::double * a + 0.25::double * b + 0.2::double * c + 0.1::double * d + 0.1::double * e v from d)
 select path, floor(v * 1e6 + 0.5) / 1e6 decay, case when v < 3 then 'healthy' when v < 6 then 'warning' when v < 8 then 'degraded' else 'critical' end band from x""")
 def decay_index(spark, sf):
     s = table(spark, sf, "supplier")
