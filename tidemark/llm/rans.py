@@ -68,7 +68,8 @@ def encode_block(ids: np.ndarray, t: Tables) -> bytes:
             out.append(words[::-1])
             written += len(words)
             x = np.where(over, x >> np.uint64(32), x)
-        state[: len(some)] = ((x // f) << np.uint64(SCALE)) + x % f + t.start[some]
+        q = x // f
+        state[: len(some)] = (q << np.uint64(SCALE)) + (x - q * f) + t.start[some]
         if step and step % CHECKPOINT == 0:
             marks.append((written, state.copy()))
     words = np.concatenate(out)[::-1] if out else np.empty(0, "<u4")

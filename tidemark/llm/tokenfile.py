@@ -28,35 +28,24 @@ from tidemark.llm.bpe import slices
 from tidemark.llm.tokenize import encoded, tokenizer
 
 #: A block ends with the document that brings it to so many ids.
-BLOCK_IDS = 1 << 21
+BLOCK_IDS = 1 << 20
 
 
-def tokenise(df: DataFrame, tokenizer_path: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, ids): packed little-endian unsigned 32-bit ids of text, end_id after them."""
+def tokenise(df: DataFrame, tokenizer_path: str, end_id: int, key: str = "doc_id", text: str = "text", dtype: str = "<u4") -> DataFrame:
+    """(key, ids): packed ids of text, end_id after them; dtype tells how wide."""
     end = np.array([end_id], "<u4").tobytes()
+    pack = (lambda x: x) if dtype == "<u4" else (lambda x: np.frombuffer(x, "<u4").astype(dtype).tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for some in slices(b, 1):
-                ids = [x + end for x in encoded(tokenizer_path, some.column(1).to_pylist())]
+                ids = [pack(x + end) for x in encoded(tokenizer_path, some.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(ids, pa.binary())], [key, "ids"])
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, ids binary")
 
 
-def narrowed(df: DataFrame, vocabulary: int) -> DataFrame:
-    """ids as 16-bit integers if the vocabulary allows it: half the bytes on disk and in shuffles."""
-    if vocabulary > 1 << 16:
-        return df
-
-    @F.pandas_udf("binary")
-    def half(ids):
-        return ids.map(lambda x: np.frombuffer(x, "<u4").astype("<u2").tobytes())
-
-    return df.withColumn("ids", half("ids"))
-
-
 def id_counts(ids: DataFrame, vocabulary: int, dtype: str) -> np.ndarray:
     """How often each id occurs: counted per task, then summed per id; at most vocabulary numbers reach the driver."""
 
@@ -82,8 +71,8 @@ def write(df: DataFrame, path: str, tokenizer_path: str, end_id: int, key: str =
     """Writes the documents' ids to path."""
     spark = df.sparkSession
     vocabulary = max(tokenizer(tokenizer_path).vocabulary, end_id + 1)
-    dtype = "<u2" if vocabulary <= 1 << 16 else "<u4"
-    ids = narrowed(tokenise(df, tokenizer_path, end_id, key, text), vocabulary)
+    dtype = "<u2" if vocabulary <= 1 << 16 else "<u4"  # half the bytes on disk and in shuffles
+    ids = tokenise(df, tokenizer_path, end_id, key, text, dtype)
     ids = stored(ids.select("*", F.monotonically_increasing_id().alias("row")), "ids")
     freq = rans.quantised(id_counts(ids, vocabulary, dtype))
     spark.createDataFrame([(vocabulary, bytearray(freq.astype("<u8").tobytes()))], "vocabulary int, freq binary").coalesce(1).write.parquet(f"{path}/table")

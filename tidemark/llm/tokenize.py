@@ -9,49 +9,61 @@ Null and empty text give no ids.
 
 from __future__ import annotations
 
-import json
+import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
-from tidemark.llm.bpe import CHUNK, WHITE_SPACE
+from tidemark.llm.bpe import CHUNK, WHITE_SPACE, portions
 
 WORD = re.compile(f"[^{WHITE_SPACE}]+")
 #: Chunks that a worker keeps; what comes after that is encoded for its batch only.
-KEPT = 250_000
+KEPT = 150_000
+#: A sign that no pre-tokenizer in use joins with a letter before it.
+SIGNS = frozenset(".,;:!?")
 
 
 class ChunkTokenizer:
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.of = Tokenizer.from_file(path)
         self.of.encode_special_tokens = True  # their strings in a text are ordinary text
-        with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
-        suffix = spec["model"].get("end_of_word_suffix")
-        blanks = (spec.get("pre_tokenizer") or {}).get("type") == "ByteLevel"
-        if not blanks and not suffix:
+        words = bool(self.of.model.end_of_word_suffix)
+        if not words and not isinstance(self.of.pre_tokenizer, pre_tokenizers.ByteLevel):
             raise ValueError("a tokenizer that splits at white space is needed")
-        #: With an end-of-word suffix white space is dropped, else a blank belongs to what follows.
-        self.cut = WORD.findall if suffix else CHUNK.findall
+        #: With an end-of-word suffix white space and case are dropped, else a blank belongs to what follows.
+        self.cut = self._words if words else CHUNK.findall
         self.vocabulary = self.of.get_vocab_size(with_added_tokens=True)
         self.known: dict[str, bytes] = {}
 
+    @staticmethod
+    def _words(text: str) -> list[str]:
+        return WORD.findall(text.lower() if text.isascii() else text)
+
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
         known = self.known
         full = len(known) >= KEPT
         parts = [self.cut(x) if x else [] for x in texts]
         new = [x for x in set().union(*parts) if x not in known]
-        for at in range(0, len(new), 5_000):
-            some = new[at : at + 5_000]
+        # Letters above these may end in a mark once they are normalised or in lower case.
+        signed = [x for x in new if x[-1] in SIGNS and x[-2:-1].isalpha() and x[-2] < "\u0250" and x[-2] != "\u0130"]
+        bare = {x[:-1] for x in signed if x[:-1] not in known}
+        bare.update(x[-1] for x in signed if x[-1] not in known)
+        rest = set(new).difference(signed).union(bare)
+        todo = list(rest)
+        for at in range(0, len(todo), 2_000):
+            some = todo[at : at + 2_000]
             for x, got in zip(some, self.of.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[x] = np.array(got.ids, "<u4").tobytes()
+                known[x] = array("I", got.ids).tobytes()
+        for x in signed:
+            known[x] = known[x[:-1]] + known[x[-1]]
         get = known.__getitem__
         out = [b"".join(map(get, x)) for x in parts]
-        for x in new:
+        for x in todo if not full else {*todo, *signed}:
             if full or len(x) > 100:
                 del known[x]
         return out
@@ -64,8 +76,6 @@ def tokenizer(path: str) -> ChunkTokenizer:
 
 def encoded(path: str, texts: list[str | None]) -> Iterator[bytes]:
     """Ids of each text, a bounded number of characters at a time."""
-    from tidemark.llm.bpe import portions
-
     run = tokenizer(path).encode_all
     for some in portions(texts):
         yield from run(some)
