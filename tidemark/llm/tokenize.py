@@ -21,7 +21,7 @@ from tidemark.llm.bpe import CHUNK, WHITE_SPACE, portions
 
 WORD = re.compile(f"[^{WHITE_SPACE}]+")
 #: Chunks that a worker keeps; what comes after that is encoded for its batch only.
-KEPT = 150_000
+KEPT = 700_000
 #: A sign that no pre-tokenizer in use joins with a letter before it.
 SIGNS = frozenset(".,;:!?")
 
