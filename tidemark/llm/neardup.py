@@ -5,7 +5,9 @@ permutation, empty ranges filled from others by a fixed rule), so two classes ag
 probability of their similarity. Each of TREES trees chooses a coordinate at random and branches by its value; a node
 that holds more than NODE classes chooses again (a second path with a chance of 1 / floor - 1, so that a pair at the
 floor keeps one path on average) until nodes are small, and small nodes are compared exhaustively by their signatures.
-A pair at the threshold is missed only if no tree keeps it together.
+A pair at the threshold is missed only if no tree keeps it together. Before a large node branches, a few of its classes
+serve as hubs, against which the others are confirmed; a node whose classes are one component by then ends, so a large
+group of near copies, which no branching would make small, costs rows in proportion to its members.
 
 Pairs whose estimate may reach the threshold are candidates; they are confirmed on the full sets of shingles, made
 again from the texts. In a node each class first proposes its PARTNERS nearest only. What they link is merged, and a
@@ -32,7 +34,7 @@ from tidemark.llm._common import dropped, small, stored
 from tidemark.llm.bpe import slices
 from tidemark.llm.components import components
 
-SIGNATURE, TREES, PARTNERS = 128, 10, 8
+SIGNATURE, TREES, PARTNERS, HUBS = 128, 10, 8, 6
 #: Most classes of a node that one task compares, and rows that go on to another level otherwise.
 NODE = 1024
 #: Bounds on what a worker keeps of words' hashes.
@@ -120,10 +122,14 @@ def signatures(df: DataFrame, size: int, key: str = "doc_id", text: str = "text"
     return df.select(key, text).mapInArrow(run, f"id {kind}, n bigint, f1 bigint, f2 bigint, roots array<bigint>, sig binary")
 
 
+def _floor(least: float) -> float:
+    """Equal bytes that a pair at the threshold reaches, but for four standard deviations; 1 of 256 agrees by chance."""
+    return SIGNATURE * (least + (1 - least) / 256 - 4 * np.sqrt(least * (1 - least) / SIGNATURE))
+
+
 def _proposals(least: float, label: bool):
     """Candidate pairs of each node; nodes come as runs of rows. With labels, only pairs of different components."""
-    # Bytes agree by chance in 1 of 256; four standard deviations below the threshold.
-    floor = SIGNATURE * (least + (1 - least) / 256 - 4 * np.sqrt(least * (1 - least) / SIGNATURE))
+    floor = _floor(least)
 
     def of_node(ids: np.ndarray, sig: np.ndarray, comp: np.ndarray | None, a: list, b: list) -> None:
         n = len(ids)
@@ -180,29 +186,76 @@ def _proposals(least: float, label: bool):
     return run
 
 
-def _small_nodes(classes: DataFrame, floor: float) -> DataFrame:
-    """(tree, node, id): the nodes of all trees with 2 to NODE classes; larger ones branch until they are."""
+def _near_hub(least: float):
+    """Rows whose signature may reach the threshold with their node's hub, as pairs."""
+    floor = _floor(least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, SIGNATURE) for i in (1, 3))
+            near = (x == y).sum(axis=1) >= floor
+            ids, hubs = b.column(0).to_numpy()[near], b.column(2).to_numpy()[near]
+            kind = b.schema.field(0).type
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids, hubs), kind), pa.array(np.maximum(ids, hubs), kind)], ["a", "b"])
+
+    return run
+
+
+def _hub_links(rows: DataFrame, least: float, confirm) -> tuple[DataFrame | None, DataFrame | None]:
+    """Confirmed links, and components, of the classes in large nodes (tree, node, id, sig).
+
+    In each round a node takes one class as hub, and the classes that aren't in its component yet are confirmed against
+    it: a large group of near copies becomes one component in rows that grow with its members.
+    """
+    kind = rows.schema["id"].dataType.simpleString()
+    links = comps = tried = None
+    for k in range(HUBS):
+        now = rows.withColumn("comp", F.col("id")) if comps is None else rows.join(small(comps), "id", "left").select(*rows.columns, F.coalesce("component", "id").alias("comp"))
+        hubs = now.groupBy("tree", "node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("id", "sig", "comp"), F.xxhash64("id", F.lit(k))).alias("hub")).where("lo <> hi")
+        met = now.join(small(hubs.select("tree", "node", "hub")), ["tree", "node"]).where("comp <> hub.comp")
+        pairs = met.select("id", "sig", F.col("hub.id").alias("h"), F.col("hub.sig").alias("hs")).mapInArrow(_near_hub(least), f"a {kind}, b {kind}").distinct()
+        pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        if pairs.isEmpty():
+            break
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        got = stored(confirm(pairs), "linked")
+        links = got if links is None else links.unionByName(got)
+        comps = stored(components(links), "components")
+    return links, comps
+
+
+def _small_nodes(classes: DataFrame, least: float, confirm) -> tuple[DataFrame, DataFrame | None]:
+    """(tree, node, id): the nodes of all trees with 2 to NODE classes; larger ones branch until they are. And the links
+    that the hubs of large nodes gave.
+
+    A node below the root whose classes are of one component already has nothing left to find and ends there.
+    """
     rows = classes.select("id", "sig", F.posexplode("roots").alias("tree", "node"))
-    done, level = None, 0
-    while True:
-        size = rows.groupBy("tree", "node").agg(F.count("*").alias("size")).where("size > 1")
-        sizes = stored(size, "sizes")
-        light = rows.select("tree", "node", "id").join(sizes.where(F.col("size") <= NODE), ["tree", "node"], "left_semi")
-        done = light if done is None else done.unionByName(light)
-        large = sizes.where(F.col("size") > NODE)
+    size = stored(rows.groupBy("tree", "node").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+    done = rows.select("tree", "node", "id").join(size.where(F.col("size") <= NODE), ["tree", "node"], "left_semi")
+    large = size.where(F.col("size") > NODE).select("tree", "node")
+    if large.isEmpty():
+        return done, None
+    rows = stored(rows.join(small(large), ["tree", "node"], "left_semi").select("tree", "node", "id", "sig"), "large")
+    links, comps = _hub_links(rows, least, confirm)
+    rows = rows.withColumn("comp", F.col("id")) if comps is None else rows.join(small(comps), "id", "left").select(*rows.columns, F.coalesce("component", "id").alias("comp"))
+    rows = stored(rows, "level")
+    for level in range(1, 300):
+        size = stored(rows.groupBy("tree", "node").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi"), "sizes")
+        if level > 1:
+            done = done.unionByName(rows.select("tree", "node", "id").join(size.where(F.col("size") <= NODE), ["tree", "node"], "left_semi"))
+        large = size.where(F.col("size") > NODE)
         if large.isEmpty():
-            return done
-        level += 1
-        if level > 200:
-            raise RuntimeError("a node does not shrink")
-        # A large node chooses one coordinate, and a second with probability 1 / floor - 1.
+            return done, links
+        # A large node chooses one coordinate, and a second with probability 1 / least - 1.
         here = rows.join(small(large.select("tree", "node", F.xxhash64("tree", "node", F.lit(level)).alias("dice"))), ["tree", "node"])
-        second = F.pmod(F.shiftrightunsigned("dice", 20), F.lit(1000)) < int(1000 * (1 / floor - 1))
+        second = F.pmod(F.shiftrightunsigned("dice", 20), F.lit(1000)) < int(1000 * (1 / least - 1))
         paths = F.explode(F.when(second, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("path")
-        here = here.select("id", "sig", "tree", "node", "dice", paths)
+        here = here.select("id", "sig", "comp", "tree", "node", "dice", paths)
         coordinate = F.pmod(F.xxhash64("dice", "path"), F.lit(SIGNATURE)).cast("int") + 1
         value = F.expr("substring(sig, coordinate, 1)")
-        rows = stored(here.withColumn("coordinate", coordinate).select("id", "sig", "tree", F.xxhash64("node", "coordinate", value).alias("node")), "level")
+        rows = stored(here.withColumn("coordinate", coordinate).select("id", "sig", "comp", "tree", F.xxhash64("node", "path", "coordinate", value).alias("node")), "level")
+    raise RuntimeError("a node does not shrink")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -237,7 +290,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     # The class of equal sets is named by its least id; the signature is the same in all its rows.
     grouped = signed.where(F.col("f1").isNotNull() & F.col("id").isNotNull()).groupBy("f1", "f2").agg(F.min("id").alias("id"), F.count("*").alias("m"), F.first("roots").alias("roots"), F.first("sig").alias("sig"))
     classes = stored(grouped, "classes")
-    nodes = stored(_small_nodes(classes, floor=least), "nodes")
+    confirm = lambda pairs: confirmed(pairs, docs, size, percent, key, text)
+    nodes, hubs = _small_nodes(classes, least, confirm)
+    nodes = stored(nodes, "nodes")
     sigs = classes.select("id", "sig")
 
     def proposed(rows: DataFrame, label: bool) -> DataFrame:
@@ -246,14 +301,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
         return dealt.mapInArrow(_proposals(least, label), f"a {kind}, b {kind}").distinct()
 
     first = stored(proposed(nodes.join(sigs, "id").select("tree", "node", "id", "sig"), False), "pairs")
-    linked = stored(confirmed(first, docs, size, percent, key, text), "linked")
+    linked = stored(confirm(first), "linked")
+    linked = linked if hubs is None else linked.unionByName(hubs)
     comps = stored(components(linked), "components")
     # Nodes where some class had more near ones than it could propose: only those of more than PARTNERS + 1 classes.
     wide = nodes.join(nodes.groupBy("tree", "node").agg(F.count("*").alias("k")).where(F.col("k") > PARTNERS + 1), ["tree", "node"], "left_semi")
     labelled = wide.join(sigs, "id").join(small(comps), "id", "left").select("tree", "node", "id", "sig", F.coalesce("component", "id").alias("comp"))
     rest = stored(proposed(labelled, True).join(first, ["a", "b"], "left_anti"), "pairs")
     if not rest.isEmpty():
-        more = stored(confirmed(rest, docs, size, percent, key, text), "linked")
+        more = stored(confirm(rest), "linked")
         if not more.isEmpty():
             comps = stored(components(linked.unionByName(more)), "components")
     dropped(nodes)
