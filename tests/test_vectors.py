@@ -294,3 +294,14 @@ def test_goals_stream_equals_batch(spark, tmp_path):
 
 def test_exact_log():
     assert math.isclose(scoring.WEIGHTS["HardcodedApiKey"], 2.0)
+
+
+def test_clones_cover_whole_texts(spark):
+    block = [f"if a{k}: return b{k}" for k in range(8)]
+    text = "\n".join([f"x{i} = {i}" for i in range(2100)] + block + ["y = 0"] * 7 + block)
+    files = spark.createDataFrame([(1, text), (2, "\n".join(block))], "path long, content string")
+    w = clones.windows(files).cache()
+    assert w.where("path = 1").count() == 2123 - 5 and clones.windows(files, most=2000).where("path = 1").count() == 1995
+    assert clones.shared_windows(w).count() == 3 and clones.cross_file_pairs(w).count() == 6
+    assert (2101, 2116, 8) in {(r.a_start, r.b_start, r.lines) for r in clones.regions(w).collect()}
+    assert [(r.a_start, r.b_start, r.lines) for r in clones.duplicate_code(files).where("kind = 'exact'").collect()] == [(2101, 2116, 8)]
