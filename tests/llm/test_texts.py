@@ -144,6 +144,25 @@ def test_large_nodes_branch(spark, monkeypatch):
     assert got == brute(rows, 3, 85)
 
 
+def test_large_star_is_found(spark, monkeypatch):
+    """Variants that only their original links, in nodes 10 times too large: about as deep as a group of 10,000."""
+    monkeypatch.setattr(neardup, "NODE", 60)
+    monkeypatch.setattr(neardup, "HUBS", 1)
+    rnd = random.Random(5)
+    words = [f"w{i}" for i in range(200)]
+    rows = [(0, " ".join(words))]
+    for i in range(1, 601):
+        w = list(words)
+        for at in rnd.sample(range(3, 197, 4), 5):
+            w[at] = f"v{i}x{at}"
+        rows.append((i, " ".join(w)))
+    want = brute(rows, 3, 85)
+    assert {c for _, c, _ in want.values()} == {0}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [r.component_id for r in neardup.near_duplicates(df, 3, 85).collect()]
+    assert sum(c == 0 for c in got) / len(got) >= 0.99
+
+
 def test_near_duplicates_of_odd_rows(spark):
     df = spark.createDataFrame([(None, "a b c d"), (3, "a b c d"), (3, "a b c d"), (9, "A b c d")], "doc_id long, text string")
     got = sorted(map(tuple, neardup.near_duplicates(df, 3, 85).collect()), key=str)

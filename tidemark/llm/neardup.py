@@ -5,9 +5,12 @@ permutation, empty ranges filled from others by a fixed rule), so two classes ag
 probability of their similarity. Each of TREES trees chooses a coordinate at random and branches by its value; a node
 that holds more than NODE classes chooses again (a second path with a chance of 1 / floor - 1, so that a pair at the
 floor keeps one path on average) until nodes are small, and small nodes are compared exhaustively by their signatures.
-A pair at the threshold is missed only if no tree keeps it together. Before a large node branches, a few of its classes
+A pair at the threshold is missed only if no tree keeps it together. A path survives about 1 / depth of the time, so
+large nodes are branched anew, with other dice, as often as RECALL needs at the depth that the largest one is expected
+to reach (each level leaves about the floor of a group at the threshold). Before a large node branches, a few of its classes
 serve as hubs, against which the others are confirmed; a node whose classes are one component by then ends, so a large
-group of near copies, which no branching would make small, costs rows in proportion to its members.
+group of near copies, which no branching would make small, costs rows in proportion to its members. A node that one
+component fills but for a few classes ends too: those few are compared with all of it.
 
 Pairs whose estimate may reach the threshold are candidates; they are confirmed on the full sets of shingles, made
 again from the texts. In a node each class first proposes its PARTNERS nearest only. What they link is merged, and a
@@ -21,6 +24,8 @@ takes no part (its component is null, it is kept); rows that repeat an id must r
 
 from __future__ import annotations
 
+import itertools
+import math
 import re
 from collections.abc import Iterator
 
@@ -37,6 +42,10 @@ from tidemark.llm.components import components
 SIGNATURE, TREES, PARTNERS, HUBS = 128, 10, 8, 6
 #: Most classes of a node that one task compares, and rows that go on to another level otherwise.
 NODE = 1024
+#: Rows of a node, in NODE, that one task may hold if its work (its rows times those outside its largest component) stays within NODE squared.
+WIDE = 16
+#: Expected share of the pairs at the threshold, sharing only large nodes, that meet in a small node at last.
+RECALL = 0.99
 #: Bounds on what a worker keeps of words' hashes.
 WORDS_KEPT = 300_000
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -127,44 +136,70 @@ def _floor(least: float) -> float:
     return SIGNATURE * (least + (1 - least) / 256 - 4 * np.sqrt(least * (1 - least) / SIGNATURE))
 
 
-def _proposals(least: float, label: bool):
-    """Candidate pairs of each node; nodes come as runs of rows. With labels, only pairs of different components."""
+def _missed(least: float, depth: int, repeats: int) -> float:
+    """Expected share of pairs at the threshold that no branching keeps together, each large node branched so often.
+
+    The equal coordinates of a pair's signatures are binomial; survival follows the paths' recurrence level by level.
+    """
+    second = _second(least) / 1000
+    k = np.arange(SIGNATURE + 1)
+    s = k / SIGNATURE
+    weight = np.array([math.comb(SIGNATURE, int(x)) * least**x * (1 - least) ** (SIGNATURE - x) for x in k])
+    alive = np.ones(len(k))
+    for _ in range(depth):
+        lost = 1 - s * alive
+        alive = 1 - (1 - second) * lost - second * lost**2
+    return float((weight * (1 - s * (1 - (1 - alive) ** repeats)) ** TREES).sum())
+
+
+def _second(least: float) -> int:
+    """Chance in 1000 of a second path."""
+    return int(1000 * (1 / least - 1))
+
+
+def _repeats(least: float, depth: int) -> int:
+    return next(r for r in itertools.count(1) if _missed(least, depth, r) <= 1 - RECALL)
+
+
+def _proposals(least: float, most: int | None):
+    """Candidate pairs of each node between different components, of each class its `most` nearest if a limit is given;
+    nodes come as runs of rows. Classes of a node's largest component are only compared with the others."""
     floor = _floor(least)
 
-    def of_node(ids: np.ndarray, sig: np.ndarray, comp: np.ndarray | None, a: list, b: list) -> None:
+    def of_node(ids: np.ndarray, sig: np.ndarray, comp: np.ndarray, a: list, b: list) -> None:
         n = len(ids)
-        for at in range(0, n, 64):
-            agree = np.zeros((min(64, n - at), n), np.int16)
+        values, of, counts = np.unique(comp, return_inverse=True, return_counts=True)
+        minor = np.flatnonzero(of != counts.argmax()) if len(values) < n else np.arange(n)
+        for at in range(0, len(minor), 64):
+            mine = minor[at : at + 64]
+            agree = np.zeros((len(mine), n), np.int16)
             for k in range(SIGNATURE):
-                agree += sig[at : at + 64, k][:, None] == sig[:, k][None, :]
-            agree[np.arange(len(agree)), at + np.arange(len(agree))] = -1
-            near = agree >= floor
-            if comp is not None:
-                near &= comp[at : at + 64][:, None] != comp[None, :]
-            elif n > PARTNERS + 1:
+                agree += sig[mine, k][:, None] == sig[:, k][None, :]
+            near = (agree >= floor) & (comp[mine][:, None] != comp[None, :])
+            if most is not None and n > most + 1:
                 # ties by row, rows being in order of id
-                rank = np.argsort(np.where(near, -agree, 1), axis=1, kind="stable")[:, :PARTNERS]
+                rank = np.argsort(np.where(near, -agree, 1), axis=1, kind="stable")[:, :most]
                 few = np.zeros(near.shape, bool)
                 np.put_along_axis(few, rank, True, axis=1)
                 near &= few
             i, j = np.nonzero(near)
-            a.append(np.minimum(ids[at + i], ids[j]))
-            b.append(np.maximum(ids[at + i], ids[j]))
+            a.append(np.minimum(ids[mine[i]], ids[j]))
+            b.append(np.maximum(ids[mine[i]], ids[j]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, kind = None, None
-        columns = ["tree", "node", "id", "sig"] + ["comp"] * label
+        columns = ["tree", "node", "id", "sig", "comp"]
 
         def flush(t: pa.Table) -> pa.RecordBatch:
             tree, node, ids = (t.column(c).to_numpy() for c in ("tree", "node", "id"))
             new = np.flatnonzero((tree[1:] != tree[:-1]) | (node[1:] != node[:-1])) + 1
             starts, ends = np.concatenate([[0], new]), np.concatenate([new, [len(ids)]])
-            comp = t.column("comp").to_numpy() if label else None
+            comp = t.column("comp").to_numpy()
             sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, SIGNATURE)
             a, b = [np.empty(0, ids.dtype)], [np.empty(0, ids.dtype)]
             for s, e in zip(starts[ends - starts > 1], ends[ends - starts > 1], strict=True):
-                if comp is None or (comp[s:e] != comp[s]).any():
-                    of_node(ids[s:e], sig[s:e], None if comp is None else comp[s:e], a, b)
+                if (comp[s:e] != comp[s]).any():
+                    of_node(ids[s:e], sig[s:e], comp[s:e], a, b)
             pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], kind), pa.array(pairs[:, 1], kind)], ["a", "b"])
 
@@ -224,38 +259,67 @@ def _hub_links(rows: DataFrame, least: float, confirm) -> tuple[DataFrame | None
     return links, comps
 
 
-def _small_nodes(classes: DataFrame, least: float, confirm) -> tuple[DataFrame, DataFrame | None]:
+def _sized(rows: DataFrame) -> DataFrame:
+    """(tree, node, size, ends) of the nodes with several components; one that ends is compared, the others branch."""
+    by = rows.groupBy("tree", "node", "comp").agg(F.count("*").alias("n")).groupBy("tree", "node").agg(F.sum("n").alias("size"), F.max("n").alias("most")).where("size > most")
+    lopsided = (F.col("size") <= WIDE * NODE) & (F.col("size") * (F.col("size") - F.col("most")) <= NODE * NODE)
+    return stored(by.select("tree", "node", "size", ((F.col("size") <= NODE) | lopsided).alias("ends")), "sizes")
+
+
+def _branched(rows: DataFrame, large: DataFrame, repeats: int, least: float) -> DataFrame:
+    """(tree, node, id) of the nodes that end: large nodes of rows (tree, node, id, sig, comp), branched so often; the
+    repeat is part of the tree's number from here on."""
+    done = None
+    large = large.select(F.explode(F.array(*(F.lit(r * TREES) for r in range(repeats)))).alias("add"), "tree", "node")
+    for level in range(1, 300):
+        # A large node chooses one coordinate, and a second with probability 1 / least - 1.
+        named = F.col("tree") + F.col("add")
+        chosen = large.select("tree", "node", named.alias("as"), F.xxhash64(named, "node", F.lit(level)).alias("dice"))
+        here = rows.join(small(chosen), ["tree", "node"])
+        second = F.pmod(F.shiftrightunsigned("dice", 20), F.lit(1000)) < _second(least)
+        paths = F.explode(F.when(second, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("path")
+        here = here.select("id", "sig", "comp", F.col("as").alias("tree"), "node", "dice", paths)
+        coordinate = F.pmod(F.xxhash64("dice", "path"), F.lit(SIGNATURE)).cast("int") + 1
+        value = F.expr("substring(sig, coordinate, 1)")
+        new = stored(here.withColumn("coordinate", coordinate).select("id", "sig", "comp", "tree", F.xxhash64("node", "path", "coordinate", value).alias("node")), "level")
+        if level > 1:
+            dropped(rows)
+        rows, size = new, _sized(new)
+        ended = stored(rows.select("tree", "node", "id").join(size.where("ends"), ["tree", "node"], "left_semi"), "ended")
+        done = ended if done is None else done.unionByName(ended)
+        large = size.where("not ends").select(F.lit(0).alias("add"), "tree", "node")
+        if large.isEmpty():
+            dropped(rows)
+            return done
+    raise RuntimeError("a node does not shrink")
+
+
+def _small_nodes(classes: DataFrame, least: float, confirm) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
     """(tree, node, id): the nodes of all trees with 2 to NODE classes; larger ones branch until they are. And the links
-    that the hubs of large nodes gave.
+    and components that the hubs of large nodes gave.
 
-    A node below the root whose classes are of one component already has nothing left to find and ends there.
+    A node below the root whose classes are of one component already has nothing left to find and ends there. Large
+    nodes branch as often as the depth expected for their size needs.
     """
     rows = classes.select("id", "sig", F.posexplode("roots").alias("tree", "node"))
     size = stored(rows.groupBy("tree", "node").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
     done = rows.select("tree", "node", "id").join(size.where(F.col("size") <= NODE), ["tree", "node"], "left_semi")
     large = size.where(F.col("size") > NODE).select("tree", "node")
     if large.isEmpty():
-        return done, None
+        return done, None, None
     rows = stored(rows.join(small(large), ["tree", "node"], "left_semi").select("tree", "node", "id", "sig"), "large")
     links, comps = _hub_links(rows, least, confirm)
     rows = rows.withColumn("comp", F.col("id")) if comps is None else rows.join(small(comps), "id", "left").select(*rows.columns, F.coalesce("component", "id").alias("comp"))
     rows = stored(rows, "level")
-    for level in range(1, 300):
-        size = stored(rows.groupBy("tree", "node").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi"), "sizes")
-        if level > 1:
-            done = done.unionByName(rows.select("tree", "node", "id").join(size.where(F.col("size") <= NODE), ["tree", "node"], "left_semi"))
-        large = size.where(F.col("size") > NODE)
-        if large.isEmpty():
-            return done, links
-        # A large node chooses one coordinate, and a second with probability 1 / least - 1.
-        here = rows.join(small(large.select("tree", "node", F.xxhash64("tree", "node", F.lit(level)).alias("dice"))), ["tree", "node"])
-        second = F.pmod(F.shiftrightunsigned("dice", 20), F.lit(1000)) < int(1000 * (1 / least - 1))
-        paths = F.explode(F.when(second, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("path")
-        here = here.select("id", "sig", "comp", "tree", "node", "dice", paths)
-        coordinate = F.pmod(F.xxhash64("dice", "path"), F.lit(SIGNATURE)).cast("int") + 1
-        value = F.expr("substring(sig, coordinate, 1)")
-        rows = stored(here.withColumn("coordinate", coordinate).select("id", "sig", "comp", "tree", F.xxhash64("node", "path", "coordinate", value).alias("node")), "level")
-    raise RuntimeError("a node does not shrink")
+    size = _sized(rows)
+    done = done.unionByName(rows.select("tree", "node", "id").join(size.where("ends"), ["tree", "node"], "left_semi"))
+    large = size.where("not ends")
+    most = large.agg(F.max("size")).first()[0]
+    if most:
+        # Nodes of classes closer to each other than the threshold, which would be deeper, are one component mostly.
+        depth = max(1, math.ceil(math.log(most / NODE) / -math.log(least)))
+        done = done.unionByName(_branched(rows, large, _repeats(least, depth), least))
+    return done, links, comps
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -291,23 +355,25 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     grouped = signed.where(F.col("f1").isNotNull() & F.col("id").isNotNull()).groupBy("f1", "f2").agg(F.min("id").alias("id"), F.count("*").alias("m"), F.first("roots").alias("roots"), F.first("sig").alias("sig"))
     classes = stored(grouped, "classes")
     confirm = lambda pairs: confirmed(pairs, docs, size, percent, key, text)
-    nodes, hubs = _small_nodes(classes, least, confirm)
+    nodes, hubs, met = _small_nodes(classes, least, confirm)
     nodes = stored(nodes, "nodes")
     sigs = classes.select("id", "sig")
 
-    def proposed(rows: DataFrame, label: bool) -> DataFrame:
+    def proposed(rows: DataFrame, comps: DataFrame | None, most: int | None) -> DataFrame:
+        rows = rows.join(sigs, "id")
+        rows = rows.withColumn("component", F.col("id")) if comps is None else rows.join(small(comps), "id", "left")
+        rows = rows.select("tree", "node", "id", "sig", F.coalesce("component", "id").alias("comp"))
         dealt = rows.repartition("tree", "node").sortWithinPartitions("tree", "node", "id")
         kind = classes.schema["id"].dataType.simpleString()
-        return dealt.mapInArrow(_proposals(least, label), f"a {kind}, b {kind}").distinct()
+        return dealt.mapInArrow(_proposals(least, most), f"a {kind}, b {kind}").distinct()
 
-    first = stored(proposed(nodes.join(sigs, "id").select("tree", "node", "id", "sig"), False), "pairs")
+    first = stored(proposed(nodes, met, PARTNERS), "pairs")
     linked = stored(confirm(first), "linked")
     linked = linked if hubs is None else linked.unionByName(hubs)
     comps = stored(components(linked), "components")
     # Nodes where some class had more near ones than it could propose: only those of more than PARTNERS + 1 classes.
     wide = nodes.join(nodes.groupBy("tree", "node").agg(F.count("*").alias("k")).where(F.col("k") > PARTNERS + 1), ["tree", "node"], "left_semi")
-    labelled = wide.join(sigs, "id").join(small(comps), "id", "left").select("tree", "node", "id", "sig", F.coalesce("component", "id").alias("comp"))
-    rest = stored(proposed(labelled, True).join(first, ["a", "b"], "left_anti"), "pairs")
+    rest = stored(proposed(wide, comps, None).join(first, ["a", "b"], "left_anti"), "pairs")
     if not rest.isEmpty():
         more = stored(confirm(rest), "linked")
         if not more.isEmpty():
