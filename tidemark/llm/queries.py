@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, embdedup, langid, neardup, packing, quality, tokenfile, urlfilter
+from tidemark.llm import ann, bpe, embdedup, langid, neardup, packing, quality, tokenfile, urlfilter, warc
 from tidemark.llm._common import fold
 
 
@@ -43,6 +43,11 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.records_of(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return warc.resolve(records).select("record_id", "type", "url", "time", "source_id", F.sha2("payload", 256).alias("payload_sha256"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     cut = packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0, capacity=2048)
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_url_filter": op2_url_filter,
     "op3_token_file": op3_token_file,
+    "op5_warc": op5_warc,
     "op7_packing": op7_packing,
     "op6_quality": op6_quality,
     "op9_langid": op9_langid,
