@@ -2,24 +2,27 @@
 
 Documents with equal sets are one class. A class keeps the least hash of its set in each of SIGNATURE ranges (one
 permutation, empty ranges filled from others by a fixed rule), so two classes agree in a coordinate with the
-probability of their similarity. Each of TREES trees chooses a coordinate at random and branches by its value; a node
-that holds more than NODE classes chooses again (a second path with a chance of 1 / floor - 1, so that a pair at the
-floor keeps one path on average) until nodes are small, and small nodes are compared exhaustively by their signatures.
-A pair at the threshold is missed only if no tree keeps it together. A path survives about 1 / depth of the time, so
-large nodes are branched anew, with other dice, as often as RECALL needs at the depth that the largest one is expected
-to reach (each level leaves about the floor of a group at the threshold). Before a large node branches, a few of its classes
-serve as hubs, against which the others are confirmed; a node whose classes are one component by then ends, so a large
-group of near copies, which no branching would make small, costs rows in proportion to its members. A node that one
-component fills but for a few classes ends too: those few are compared with all of it.
-
-Pairs whose estimate may reach the threshold are candidates; they are confirmed on the full sets of shingles, made
-again from the texts. In a node each class first proposes its PARTNERS nearest only. What they link is merged, and a
-second round proposes every pair that is left between different components, so the rows grow with the members of a
-group and not with their pairs, and no link between components is lost to a limit.
+probability of their similarity. Each of TREES trees branches all classes by one coordinate; a node of more than NODE
+classes branches again by another (by a second one with a chance of 1 / floor - 1, so that a pair at the floor keeps
+one path on average) until nodes are small, and small nodes are compared exhaustively.
+
+The comparison takes two passes, so that what is sent grows with the members of a group and not with its pairs:
+
+1. In each node the signatures estimate all similarities; the node gives the maximum spanning forest of the pairs whose
+   estimate may reach the threshold. Those pairs are confirmed on the full sets of shingles; links make components.
+2. In each node of the first AGAIN trees, classes that may still link with another component (the smaller ones, and
+   what they may link with) go to a cell with their full sets, where each of the smaller ones is compared with all.
+
+A node too large for one task is dealt into blocks that share HUBS of its classes in pass 1, so a group of near copies
+becomes one component there. In pass 2 it ends, dealt into blocks, once its smaller components fit in one block (or
+after LEVELS branchings, when their blocks are paired); until then it branches. A path survives about 1 / depth of the
+time, so large nodes branch several times, with other dice, as often as RECALL needs at the depth that the largest is
+expected to reach.
 
 Defined results: words are runs of characters other than space and \\t to \\r, A-Z lower-cased; texts with fewer words
 than a shingle are one shingle; null texts and texts without words have an empty set and link with nothing; a null id
-takes no part (its component is null, it is kept); rows that repeat an id must repeat the text, and get the same result.
+takes no part (its component is null, it is kept); each row that repeats an id has the component of its own text, and
+is kept if that is its id.
 """
 
 from __future__ import annotations
@@ -39,15 +42,17 @@ from tidemark.llm._common import dropped, small, stored
 from tidemark.llm.bpe import slices
 from tidemark.llm.components import components
 
-SIGNATURE, TREES, PARTNERS, HUBS = 128, 10, 8, 6
-#: Most classes of a node that one task compares, and rows that go on to another level otherwise.
-NODE = 1024
-#: Rows of a node, in NODE, that one task may hold if its work (its rows times those outside its largest component) stays within NODE squared.
-WIDE = 16
+SIGNATURE, TREES, AGAIN, HUBS = 128, 10, 4, 64
+#: Most classes of a node that one task compares.
+NODE = 4096
+#: Branchings after which a large node ends in any case.
+LEVELS = 40
+#: Shingles of each side of a cell, of 8 bytes each.
+CELL = 1 << 20
 #: Expected share of the pairs at the threshold, sharing only large nodes, that meet in a small node at last.
 RECALL = 0.99
 #: Bounds on what a worker keeps of words' hashes.
-WORDS_KEPT = 300_000
+WORDS_KEPT = 200_000
 WORD = re.compile("[^\x20\x09-\x0d]+")
 UPPER = {c: c + 32 for c in range(65, 91)}
 
@@ -79,6 +84,12 @@ class Shingler:
         return np.unique(out)
 
 
+def _identity(hashes: np.ndarray) -> tuple[int, int]:
+    """128 bits for a set, as two signed numbers."""
+    whole = xxhash.xxh3_128_digest(hashes.tobytes())
+    return int.from_bytes(whole[:8], "little", signed=True), int.from_bytes(whole[8:], "little", signed=True)
+
+
 def _fill_order(size: int, seed: int = 17) -> np.ndarray:
     return np.array([np.random.default_rng((seed, i)).permutation(size) for i in range(size)])
 
@@ -118,9 +129,8 @@ def signatures(df: DataFrame, size: int, key: str = "doc_id", text: str = "text"
                     if not len(s):
                         f1.append(None), f2.append(None), roots.append(None), sig.append(None)
                         continue
-                    whole = xxhash.xxh3_128_digest(s.tobytes())
-                    f1.append(int.from_bytes(whole[:8], "little", signed=True))
-                    f2.append(int.from_bytes(whole[8:], "little", signed=True))
+                    one, two = _identity(s)
+                    f1.append(one), f2.append(two)
                     v = signature(s)
                     with np.errstate(over="ignore"):
                         roots.append(((v[picks] ^ salts) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64))
@@ -128,12 +138,12 @@ def signatures(df: DataFrame, size: int, key: str = "doc_id", text: str = "text"
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(roots, pa.list_(pa.int64())), pa.array(sig, pa.binary())], ["id", "n", "f1", "f2", "roots", "sig"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInArrow(run, f"id {kind}, n bigint, f1 bigint, f2 bigint, roots array<bigint>, sig binary")
+    return df.select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInArrow(run, f"id {kind}, n bigint, f1 bigint, f2 bigint, roots array<bigint>, sig binary")
 
 
 def _floor(least: float) -> float:
-    """Equal bytes that a pair at the threshold reaches, but for four standard deviations; 1 of 256 agrees by chance."""
-    return SIGNATURE * (least + (1 - least) / 256 - 4 * np.sqrt(least * (1 - least) / SIGNATURE))
+    """Equal bytes that a pair at the threshold reaches, but for one of a thousand; 1 of 256 agrees by chance."""
+    return SIGNATURE * (least + (1 - least) / 256 - 3.1 * np.sqrt(least * (1 - least) / SIGNATURE))
 
 
 def _missed(least: float, depth: int, repeats: int) -> float:
@@ -149,7 +159,7 @@ def _missed(least: float, depth: int, repeats: int) -> float:
     for _ in range(depth):
         lost = 1 - s * alive
         alive = 1 - (1 - second) * lost - second * lost**2
-    return float((weight * (1 - s * (1 - (1 - alive) ** repeats)) ** TREES).sum())
+    return float((weight * (1 - s * (1 - (1 - alive) ** repeats)) ** AGAIN).sum())
 
 
 def _second(least: float) -> int:
@@ -161,227 +171,351 @@ def _repeats(least: float, depth: int) -> int:
     return next(r for r in itertools.count(1) if _missed(least, depth, r) <= 1 - RECALL)
 
 
-def _proposals(least: float, most: int | None):
-    """Candidate pairs of each node between different components, of each class its `most` nearest if a limit is given;
-    nodes come as runs of rows. Classes of a node's largest component are only compared with the others."""
+def _agreeing(mine: np.ndarray, all_: np.ndarray) -> np.ndarray:
+    """Equal bytes of each row of one with each of the other."""
+    out = np.empty((len(mine), len(all_)), np.uint8)
+    step = max(1, (8 << 20) // (SIGNATURE * len(all_)))
+    for at in range(0, len(mine), step):
+        same = (mine[at : at + step, None, :] == all_[None, :, :]).view(np.uint64)
+        # Up to SIGNATURE / 8 ones in each byte of a word's sum.
+        out[at : at + step] = same.sum(axis=2, dtype=np.uint64)[..., None].view(np.uint8).sum(axis=2, dtype=np.uint8)
+    return out
+
+
+def _forest(agree: np.ndarray, floor: float) -> tuple[list[int], list[int]]:
+    """A maximum spanning forest of the pairs that agree in floor bytes at least (Prim's)."""
+    n = len(agree)
+    best, back, left = np.full(n, -1, np.int16), np.zeros(n, np.int64), np.ones(n, bool)
+    a, b, i = [], [], 0
+    left[0] = False
+    for _ in range(n - 1):
+        better = left & (agree[i] > best)
+        best[better], back[better] = agree[i][better], i
+        j = int(np.where(left, best, -1).argmax())
+        if best[j] >= floor and left[j]:
+            a.append(int(back[j]))
+            b.append(j)
+        else:
+            j = int(left.argmax())
+        left[j], i = False, j
+    return a, b
+
+
+def _runs(batches: Iterator[pa.RecordBatch], column: str, rows: int) -> Iterator[pa.Table]:
+    """Tables of so many rows at least, cut where the column changes; the input is sorted by it."""
+    held = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        held = t if held is None else pa.concat_tables([held, t])
+        if held.num_rows < rows:
+            continue
+        value = held.column(column).to_numpy()
+        last = np.flatnonzero(value != value[-1])
+        if len(last):
+            yield held.slice(0, int(last[-1]) + 1).combine_chunks()
+            held = held.slice(int(last[-1]) + 1)
+    if held is not None and held.num_rows:
+        yield held.combine_chunks()
+
+
+def _each(t: pa.Table, column: str) -> Iterator[tuple[int, int]]:
+    """Bounds of the runs of two rows at least."""
+    value = t.column(column).to_numpy()
+    new = np.flatnonzero(value[1:] != value[:-1]) + 1
+    for s, e in zip(np.concatenate([[0], new]), np.concatenate([new, [len(value)]]), strict=True):
+        if e - s > 1:
+            yield s, e
+
+
+def _bytes(t: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, SIGNATURE)
+
+
+def _forests(least: float):
+    """Rows (node, k, sig), sorted by node, to the pairs (a, b) of each node's forest."""
+    floor = _floor(least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _runs(batches, "node", 20_000):
+            k, sig, a, b = t.column("k").to_numpy(), _bytes(t), [], []
+            for s, e in _each(t, "node"):
+                agree = _agreeing(sig[s:e], sig[s:e])
+                active = np.flatnonzero((agree >= floor).sum(axis=1) > 1)
+                if len(active):
+                    i, j = _forest(agree[np.ix_(active, active)], floor)
+                    at = k[s:e][active]
+                    a.append(at[i]), b.append(at[j])
+            if a:
+                a, b = np.concatenate(a), np.concatenate(b)
+                pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+                pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    return run
+
+
+def _cells(least: float):
+    """Rows (node, k, n, sig, comp), sorted by node, to (cell, k, comp, minor): what is to be compared on full sets.
+
+    The minor classes of a node are those outside its largest component. Those that may link with another component
+    are joined, over what they may link with, to clusters; a cluster gives a cell for each pair of a run of its minor
+    classes with a run of all its classes. Equal clusters of several trees give equal cells.
+    """
     floor = _floor(least)
 
-    def of_node(ids: np.ndarray, sig: np.ndarray, comp: np.ndarray, a: list, b: list) -> None:
-        n = len(ids)
-        values, of, counts = np.unique(comp, return_inverse=True, return_counts=True)
-        minor = np.flatnonzero(of != counts.argmax()) if len(values) < n else np.arange(n)
-        for at in range(0, len(minor), 64):
-            mine = minor[at : at + 64]
-            agree = np.zeros((len(mine), n), np.int16)
-            for k in range(SIGNATURE):
-                agree += sig[mine, k][:, None] == sig[:, k][None, :]
-            near = (agree >= floor) & (comp[mine][:, None] != comp[None, :])
-            if most is not None and n > most + 1:
-                # ties by row, rows being in order of id
-                rank = np.argsort(np.where(near, -agree, 1), axis=1, kind="stable")[:, :most]
-                few = np.zeros(near.shape, bool)
-                np.put_along_axis(few, rank, True, axis=1)
-                near &= few
-            i, j = np.nonzero(near)
-            a.append(np.minimum(ids[mine[i]], ids[j]))
-            b.append(np.maximum(ids[mine[i]], ids[j]))
+    def split(n: np.ndarray) -> np.ndarray:
+        return (np.cumsum(n) - n) // CELL
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, kind = None, None
-        columns = ["tree", "node", "id", "sig", "comp"]
-
-        def flush(t: pa.Table) -> pa.RecordBatch:
-            tree, node, ids = (t.column(c).to_numpy() for c in ("tree", "node", "id"))
-            new = np.flatnonzero((tree[1:] != tree[:-1]) | (node[1:] != node[:-1])) + 1
-            starts, ends = np.concatenate([[0], new]), np.concatenate([new, [len(ids)]])
-            comp = t.column("comp").to_numpy()
-            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, SIGNATURE)
-            a, b = [np.empty(0, ids.dtype)], [np.empty(0, ids.dtype)]
-            for s, e in zip(starts[ends - starts > 1], ends[ends - starts > 1], strict=True):
-                if (comp[s:e] != comp[s]).any():
-                    of_node(ids[s:e], sig[s:e], comp[s:e], a, b)
-            pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], kind), pa.array(pairs[:, 1], kind)], ["a", "b"])
+        for t in _runs(batches, "node", 20_000):
+            k, n, comp, sig = t.column("k").to_numpy(), t.column("n").to_numpy(), t.column("comp").to_numpy(), _bytes(t)
+            out: list[tuple] = []
+            for s, e in _each(t, "node"):
+                c = comp[s:e]
+                if (c == c[0]).all():
+                    continue
+                values, of, counts = np.unique(c, return_inverse=True, return_counts=True)
+                minor = np.flatnonzero(of != counts.argmax())
+                near = (_agreeing(sig[s:e][minor], sig[s:e]) >= floor) & (c[minor][:, None] != c[None, :])
+                number = np.full(e - s, -1)
+                number[minor] = np.arange(len(minor))
+                todo = near.any(axis=1)
+                while todo.any():
+                    first = int(todo.argmax())
+                    inside, queue = near[first].copy(), [first]
+                    inside[minor[first]], todo[first] = True, False
+                    while queue:
+                        inside |= near[queue].any(axis=0)
+                        queue = [x for x in number[np.flatnonzero(inside)] if x >= 0 and todo[x]]
+                        todo[queue] = False
+                    every = np.flatnonzero(inside)
+                    every = every[np.argsort(k[s:e][every], kind="stable")]
+                    few = every[number[every] >= 0]
+                    rows, columns = split(n[s:e][few]), split(n[s:e][every])
+                    for x, y in itertools.product(np.unique(rows), np.unique(columns)):
+                        left, right = few[rows == x], np.setdiff1d(every[columns == y], few[rows == x])
+                        ks = np.concatenate([k[s:e][left], k[s:e][right]])
+                        cell = np.int64(xxhash.xxh3_64_intdigest(ks.tobytes(), seed=len(left)) - (1 << 63))
+                        out.append((np.full(len(ks), cell), ks, np.concatenate([c[left], c[right]]), np.arange(len(ks)) < len(left)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in out])) for i in range(4)], ["cell", "k", "comp", "minor"])
+
+    return run
+
+
+def _sets(docs: DataFrame, need: DataFrame, size: int, key: str, text: str, cells: int) -> DataFrame:
+    """(cell, k, hashes) for need (id, k, f1, f2, cells): the full set of each class, made again from a text of it, once
+    for each of its cells."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = Shingler(size)
         for batch in batches:
-            kind = batch.schema.field("id").type
-            t = pa.Table.from_batches([batch]).select(columns)
-            held = t if held is None else pa.concat_tables([held, t])
-            if held.num_rows < 20_000:
-                continue
-            tree, node = held.column("tree").to_numpy(), held.column("node").to_numpy()
-            last = np.flatnonzero((tree != tree[-1]) | (node != node[-1]))
-            if len(last):
-                cut = int(last[-1]) + 1
-                yield flush(held.slice(0, cut).combine_chunks())
-                held = held.slice(cut)
-        if held is not None and held.num_rows:
-            yield flush(held.combine_chunks())
+            for some in slices(batch, 0):
+                cell, k, hashes = [], [], []
+                for x, one, f1, f2, at in zip(*(c.to_pylist() for c in some.columns), strict=True):
+                    s = make.set_of(x)
+                    if _identity(s) == (f1, f2):
+                        cell += at
+                        k += [one] * len(at)
+                        hashes += [s.tobytes()] * len(at)
+                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(k, pa.int64()), pa.array(hashes, pa.binary())], ["cell", "k", "hashes"])
 
-    return run
+    texts = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("x"))
+    # At most 48 bytes for a row and 8 for each of its cells.
+    side = F.broadcast(need) if cells * 56 <= 64 << 20 else need
+    return texts.join(side, "id").select("x", "k", "f1", "f2", "cells").mapInArrow(run, "cell bigint, k bigint, hashes binary")
 
 
-def _near_hub(least: float):
-    """Rows whose signature may reach the threshold with their node's hub, as pairs."""
-    floor = _floor(least)
+def _linked(percent: int):
+    """Rows (cell, k, hashes, a) sorted by cell, a and k, first the sets (a null), then the pairs a, k to confirm."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sets = None, {}
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, SIGNATURE) for i in (1, 3))
-            near = (x == y).sum(axis=1) >= floor
-            ids, hubs = b.column(0).to_numpy()[near], b.column(2).to_numpy()[near]
-            kind = b.schema.field(0).type
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids, hubs), kind), pa.array(np.maximum(ids, hubs), kind)], ["a", "b"])
+            good = []
+            for cell, k, hashes, a in zip(*(b.column(c) for c in ("cell", "k", "hashes", "a")), strict=True):
+                if cell.as_py() != now:
+                    now, sets = cell.as_py(), {}
+                if not a.is_valid:
+                    sets[k.as_py()] = np.frombuffer(hashes.as_py(), np.uint64)
+                    continue
+                x, y = sets[a.as_py()], sets[k.as_py()]
+                both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    good.append((a.as_py(), k.as_py()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in good], pa.int64()), pa.array([x[1] for x in good], pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _compared(percent: int):
+    """Rows (cell, k, hashes, comp, minor) sorted by cell to links (a, b): of each minor class with the others, one to
+    each component that is new to it."""
+
+    def of_cell(t: pa.Table) -> tuple[list, list]:
+        keys, at = np.unique(t.column("k").to_numpy(), return_index=True)
+        minor, comp = t.column("minor").to_numpy(zero_copy_only=False)[at], t.column("comp").to_numpy()[at]
+        hashes = t.column("hashes")
+        sets = [np.frombuffer(hashes[int(i)].as_py(), np.uint64) for i in at]
+        n = np.array([len(x) for x in sets])
+        starts = np.cumsum(n) - n
+        universe, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        comp = np.unique(comp, return_inverse=True)[1]
+        mark, a, b = np.zeros(len(universe), np.int32), [], []
+        for i in np.flatnonzero(minor):
+            if (comp == comp[i]).all():
+                break
+            own = flat[starts[i] : starts[i] + n[i]]
+            mark[own] = 1
+            both = np.add.reduceat(mark[flat], starts)
+            mark[own] = 0
+            linked = np.flatnonzero((100 * both >= percent * (n + n[i] - both)) & (comp != comp[i]))
+            for c, j in zip(*np.unique(comp[linked], return_index=True), strict=True):
+                a.append(keys[i]), b.append(keys[linked[j]])
+                comp[comp == c] = comp[i]
+        return a, b
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _runs(batches, "cell", 1):
+            a, b = [], []
+            for s, e in _each(t, "cell"):
+                x, y = of_cell(t.slice(s, e - s))
+                a += x
+                b += y
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
 
-def _hub_links(rows: DataFrame, least: float, confirm) -> tuple[DataFrame | None, DataFrame | None]:
-    """Confirmed links, and components, of the classes in large nodes (tree, node, id, sig).
+def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int, key: str, text: str) -> DataFrame:
+    """The pairs (a, b) of classes with 100 * intersection >= percent * union of the full sets.
 
-    In each round a node takes one class as hub, and the classes that aren't in its component yet are confirmed against
-    it: a large group of near copies becomes one component in rows that grow with its members.
+    Pairs are dealt to a grid of cells by the hashes of both sides, so a cell holds bounded sets; each set is sent once
+    to a cell, whatever the pairs it has there.
     """
-    kind = rows.schema["id"].dataType.simpleString()
-    links = comps = tried = None
-    for k in range(HUBS):
-        now = rows.withColumn("comp", F.col("id")) if comps is None else rows.join(small(comps), "id", "left").select(*rows.columns, F.coalesce("component", "id").alias("comp"))
-        hubs = now.groupBy("tree", "node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("id", "sig", "comp"), F.xxhash64("id", F.lit(k))).alias("hub")).where("lo <> hi")
-        met = now.join(small(hubs.select("tree", "node", "hub")), ["tree", "node"]).where("comp <> hub.comp")
-        pairs = met.select("id", "sig", F.col("hub.id").alias("h"), F.col("hub.sig").alias("hs")).mapInArrow(_near_hub(least), f"a {kind}, b {kind}").distinct()
-        pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            break
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        got = stored(confirm(pairs), "linked")
-        links = got if links is None else links.unionByName(got)
-        comps = stored(components(links), "components")
-    return links, comps
-
-
-def _sized(rows: DataFrame) -> DataFrame:
-    """(tree, node, size, ends) of the nodes with several components; one that ends is compared, the others branch."""
-    by = rows.groupBy("tree", "node", "comp").agg(F.count("*").alias("n")).groupBy("tree", "node").agg(F.sum("n").alias("size"), F.max("n").alias("most")).where("size > most")
-    lopsided = (F.col("size") <= WIDE * NODE) & (F.col("size") * (F.col("size") - F.col("most")) <= NODE * NODE)
-    return stored(by.select("tree", "node", "size", ((F.col("size") <= NODE) | lopsided).alias("ends")), "sizes")
-
-
-def _branched(rows: DataFrame, large: DataFrame, repeats: int, least: float) -> DataFrame:
-    """(tree, node, id) of the nodes that end: large nodes of rows (tree, node, id, sig, comp), branched so often; the
-    repeat is part of the tree's number from here on."""
+    count = pairs.count()
+    mean = classes.agg(F.avg("n")).first()[0] or 1
+    side = max(1, math.ceil(math.sqrt(count * 2 * mean / CELL)))
+    cell = F.xxhash64(F.pmod(F.xxhash64("a"), F.lit(side)), F.pmod(F.xxhash64("b", F.lit(1)), F.lit(side)))
+    pairs = pairs.withColumn("cell", cell)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("k"), "cell").groupBy("k").agg(F.collect_set("cell").alias("cells"))
+    need = stored(classes.select("id", "k", "f1", "f2").join(ends, "k").select("id", "k", "f1", "f2", "cells"), "need")
+    sets = _sets(docs, need, size, key, text, 2 * count).withColumn("a", F.lit(None).cast("bigint"))
+    rows = sets.unionByName(pairs.select("cell", F.col("b").alias("k"), F.lit(None).cast("binary").alias("hashes"), "a"))
+    return rows.repartition("cell").sortWithinPartitions("cell", F.col("a").asc_nulls_first(), "k").mapInArrow(_linked(percent), "a bigint, b bigint")
+
+
+def _small_nodes(nodes: DataFrame) -> tuple[DataFrame, DataFrame | None, int]:
+    """nodes (tree, node, k): those of 2 to NODE classes; the larger ones, if any; classes of the largest."""
+    size = stored(nodes.groupBy("tree", "node").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+    most = size.agg(F.max("size")).first()[0] or 0
+    fit = nodes.join(size.where(F.col("size") <= NODE).select("tree", "node"), ["tree", "node"], "left_semi")
+    if most <= NODE:
+        return fit, None, most
+    large = size.where(F.col("size") > NODE)
+    return fit, stored(nodes.join(small(large), ["tree", "node"]).select("tree", "node", "k", "size"), "large"), most
+
+
+def _with_hubs(large: DataFrame) -> DataFrame:
+    """(node, k): large nodes (tree, node, k, size) in blocks, with about HUBS classes that all blocks of a node have."""
+    blocks = F.ceil(F.col("size") * 2 / NODE).cast("int")
+    hub = F.pmod(F.xxhash64("k", "node", F.lit(1)), F.col("size")) < HUBS
+    own = F.pmod(F.xxhash64("k", "node"), blocks).cast("int")
+    to = F.when(hub, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own))
+    return large.select("node", "k", F.explode(to).alias("block")).select(F.xxhash64("node", "block").alias("node"), "k")
+
+
+def _in_blocks(rows: DataFrame, ends: DataFrame) -> DataFrame:
+    """(node, k): nodes that end (tree, node, size, most, major) in blocks: each block of a node's smaller components
+    with each block of the rest, and with each other block of the smaller."""
+    half = max(1, NODE // 2)
+    here = rows.join(small(ends), ["tree", "node"])
+    is_minor = F.col("comp") != F.col("major")
+    few, many = F.ceil((F.col("size") - F.col("most")) / half).cast("int"), F.ceil(F.col("most") / half).cast("int")
+    own = F.pmod(F.xxhash64("k", "node"), F.when(is_minor, few).otherwise(many)).cast("int")
+    all_few, all_many = F.sequence(F.lit(0), few - 1), F.sequence(F.lit(0), many - 1)
+    cells_of_minor = F.concat(
+        F.transform(all_many, lambda m: F.struct(own.alias("x"), m.alias("y"), F.lit(False).alias("both"))),
+        F.transform(F.filter(all_few, lambda f: (f != own) | (few == 1)), lambda f: F.struct(F.least(own, f).alias("x"), F.greatest(own, f).alias("y"), F.lit(True).alias("both"))),
+    )
+    cells_of_major = F.transform(all_few, lambda f: F.struct(f.alias("x"), own.alias("y"), F.lit(False).alias("both")))
+    cell = F.explode(F.when(is_minor, cells_of_minor).otherwise(cells_of_major)).alias("cell")
+    return here.select("node", "k", cell).select(F.xxhash64("node", "cell.x", "cell.y", "cell.both").alias("node"), "k")
+
+
+def _branched(large: DataFrame, classes: DataFrame, comps: DataFrame, least: float, most: int) -> DataFrame | None:
+    """(node, k): nodes for pass 2 from large ones (tree, node, k)."""
+    named = classes.select("k", "sig").join(comps, "k", "left").select("k", "sig", F.coalesce("component", "k").alias("comp"))
+    rows = stored(large.join(named, "k").select("tree", "node", "k", "sig", "comp"), "level")
+    # Nodes of classes closer to each other than the threshold, which would be deeper, are one component mostly.
+    repeats = _repeats(least, max(1, math.ceil(math.log(most / NODE) / -math.log(least))))
     done = None
-    large = large.select(F.explode(F.array(*(F.lit(r * TREES) for r in range(repeats)))).alias("add"), "tree", "node")
-    for level in range(1, 300):
-        # A large node chooses one coordinate, and a second with probability 1 / least - 1.
-        named = F.col("tree") + F.col("add")
-        chosen = large.select("tree", "node", named.alias("as"), F.xxhash64(named, "node", F.lit(level)).alias("dice"))
-        here = rows.join(small(chosen), ["tree", "node"])
-        second = F.pmod(F.shiftrightunsigned("dice", 20), F.lit(1000)) < _second(least)
-        paths = F.explode(F.when(second, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("path")
-        here = here.select("id", "sig", "comp", F.col("as").alias("tree"), "node", "dice", paths)
-        coordinate = F.pmod(F.xxhash64("dice", "path"), F.lit(SIGNATURE)).cast("int") + 1
-        value = F.expr("substring(sig, coordinate, 1)")
-        new = stored(here.withColumn("coordinate", coordinate).select("id", "sig", "comp", "tree", F.xxhash64("node", "path", "coordinate", value).alias("node")), "level")
-        if level > 1:
-            dropped(rows)
-        rows, size = new, _sized(new)
-        ended = stored(rows.select("tree", "node", "id").join(size.where("ends"), ["tree", "node"], "left_semi"), "ended")
+    for level in itertools.count():
+        by = rows.groupBy("tree", "node", "comp").agg(F.count("*").alias("n")).groupBy("tree", "node").agg(F.sum("n").alias("size"), F.max(F.struct("n", "comp")).alias("top"))
+        size = stored(by.select("tree", "node", "size", F.col("top.n").alias("most"), F.col("top.comp").alias("major")).where("size > most"), "sizes")
+        fits = F.col("size") <= NODE
+        lopsided = (F.col("size") - F.col("most") <= max(1, NODE // 2)) | F.lit(level >= LEVELS)
+        fit = rows.join(size.where(fits).select("tree", "node"), ["tree", "node"], "left_semi").select(F.xxhash64("tree", "node").alias("node"), "k")
+        ended = stored(fit.unionByName(_in_blocks(rows, size.where(~fits & lopsided))), "ended")
         done = ended if done is None else done.unionByName(ended)
-        large = size.where("not ends").select(F.lit(0).alias("add"), "tree", "node")
-        if large.isEmpty():
+        on = size.where(~fits & ~lopsided).select("tree", "node")
+        if on.isEmpty():
             dropped(rows)
             return done
-    raise RuntimeError("a node does not shrink")
-
-
-def _small_nodes(classes: DataFrame, least: float, confirm) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
-    """(tree, node, id): the nodes of all trees with 2 to NODE classes; larger ones branch until they are. And the links
-    and components that the hubs of large nodes gave.
-
-    A node below the root whose classes are of one component already has nothing left to find and ends there. Large
-    nodes branch as often as the depth expected for their size needs.
-    """
-    rows = classes.select("id", "sig", F.posexplode("roots").alias("tree", "node"))
-    size = stored(rows.groupBy("tree", "node").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
-    done = rows.select("tree", "node", "id").join(size.where(F.col("size") <= NODE), ["tree", "node"], "left_semi")
-    large = size.where(F.col("size") > NODE).select("tree", "node")
-    if large.isEmpty():
-        return done, None, None
-    rows = stored(rows.join(small(large), ["tree", "node"], "left_semi").select("tree", "node", "id", "sig"), "large")
-    links, comps = _hub_links(rows, least, confirm)
-    rows = rows.withColumn("comp", F.col("id")) if comps is None else rows.join(small(comps), "id", "left").select(*rows.columns, F.coalesce("component", "id").alias("comp"))
-    rows = stored(rows, "level")
-    size = _sized(rows)
-    done = done.unionByName(rows.select("tree", "node", "id").join(size.where("ends"), ["tree", "node"], "left_semi"))
-    large = size.where("not ends")
-    most = large.agg(F.max("size")).first()[0]
-    if most:
-        # Nodes of classes closer to each other than the threshold, which would be deeper, are one component mostly.
-        depth = max(1, math.ceil(math.log(most / NODE) / -math.log(least)))
-        done = done.unionByName(_branched(rows, large, _repeats(least, depth), least))
-    return done, links, comps
-
-
-def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union of the full sets. docs: one row for each id needed."""
-    kind = docs.schema[key].dataType.simpleString()
-    needed = pairs.select(F.col("a").alias(key)).unionByName(pairs.select(F.col("b").alias(key))).distinct()
-    texts = docs.select(key, text).join(small(needed), key, "left_semi").dropDuplicates([key])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, last, held = Shingler(size), None, None
-        for batch in batches:
-            for some in slices(batch, 2):
-                a, b, good = some.column(0).to_pylist(), some.column(1).to_pylist(), []
-                for x, y, s, t in zip(a, b, some.column(2).to_pylist(), some.column(3).to_pylist(), strict=True):
-                    if x != last:
-                        last, held = x, make.set_of(s)
-                    other = make.set_of(t)
-                    both = len(np.intersect1d(held, other, assume_unique=True))
-                    good.append(100 * both >= percent * (len(held) + len(other) - both))
-                yield pa.RecordBatch.from_arrays(some.columns[:2], ["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    left = texts.select(F.col(key).alias("a"), F.col(text).alias("s"))
-    right = texts.select(F.col(key).alias("b"), F.col(text).alias("t"))
-    rows = pairs.join(right, "b").join(left, "a").select("a", "b", "s", "t")
-    return rows.mapInArrow(run, f"a {kind}, b {kind}")
+        # A large node chooses one coordinate, and a second with probability 1 / least - 1; the repeat is part of the
+        # tree's number from the first level on.
+        trees = F.array(*(F.col("tree") + r * TREES for r in range(1, repeats + 1))) if level == 0 else F.array("tree")
+        chosen = on.select(F.explode(trees).alias("as"), "tree", "node").withColumn("dice", F.xxhash64("as", "node", F.lit(level)))
+        here = rows.join(small(chosen), ["tree", "node"])
+        second = F.pmod(F.shiftrightunsigned("dice", 20), F.lit(1000)) < _second(least)
+        paths = F.explode(F.when(second, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("path")
+        here = here.select("k", "sig", "comp", F.col("as").alias("tree"), "node", "dice", paths)
+        here = here.withColumn("coordinate", F.pmod(F.xxhash64("dice", "path"), F.lit(SIGNATURE)).cast("int") + 1)
+        new = here.select("tree", F.xxhash64("node", "path", "coordinate", F.expr("substring(sig, coordinate, 1)")).alias("node"), "k", "sig", "comp")
+        new = stored(new, "level")
+        dropped(rows)
+        rows = new
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id, kept) for each row."""
     least = percent / 100
-    signed = stored(signatures(docs, size, key, text), "signatures")
-    # The class of equal sets is named by its least id; the signature is the same in all its rows.
-    grouped = signed.where(F.col("f1").isNotNull() & F.col("id").isNotNull()).groupBy("f1", "f2").agg(F.min("id").alias("id"), F.count("*").alias("m"), F.first("roots").alias("roots"), F.first("sig").alias("sig"))
-    classes = stored(grouped, "classes")
-    confirm = lambda pairs: confirmed(pairs, docs, size, percent, key, text)
-    nodes, hubs, met = _small_nodes(classes, least, confirm)
+    signed = stored(signatures(docs, size, key, text).withColumn("row", F.monotonically_increasing_id()), "signatures")
+    # A class of equal sets is named by its first row; the signature is the same in all its rows.
+    grouped = signed.where(F.col("f1").isNotNull() & F.col("id").isNotNull()).groupBy("f1", "f2")
+    classes = stored(grouped.agg(F.min("row").alias("k"), F.min("id").alias("id"), F.count("*").alias("m"), F.first("n").alias("n"), F.first("roots").alias("roots"), F.first("sig").alias("sig")), "classes")
+    nodes, large, most = _small_nodes(classes.select("k", F.posexplode("roots").alias("tree", "node")))
     nodes = stored(nodes, "nodes")
-    sigs = classes.select("id", "sig")
-
-    def proposed(rows: DataFrame, comps: DataFrame | None, most: int | None) -> DataFrame:
-        rows = rows.join(sigs, "id")
-        rows = rows.withColumn("component", F.col("id")) if comps is None else rows.join(small(comps), "id", "left")
-        rows = rows.select("tree", "node", "id", "sig", F.coalesce("component", "id").alias("comp"))
-        dealt = rows.repartition("tree", "node").sortWithinPartitions("tree", "node", "id")
-        kind = classes.schema["id"].dataType.simpleString()
-        return dealt.mapInArrow(_proposals(least, most), f"a {kind}, b {kind}").distinct()
-
-    first = stored(proposed(nodes, met, PARTNERS), "pairs")
-    linked = stored(confirm(first), "linked")
-    linked = linked if hubs is None else linked.unionByName(hubs)
-    comps = stored(components(linked), "components")
-    # Nodes where some class had more near ones than it could propose: only those of more than PARTNERS + 1 classes.
-    wide = nodes.join(nodes.groupBy("tree", "node").agg(F.count("*").alias("k")).where(F.col("k") > PARTNERS + 1), ["tree", "node"], "left_semi")
-    rest = stored(proposed(wide, comps, None).join(first, ["a", "b"], "left_anti"), "pairs")
-    if not rest.isEmpty():
-        more = stored(confirm(rest), "linked")
+
+    # Pass 1.
+    here = nodes.select("node", "k") if large is None else nodes.select("node", "k").unionByName(_with_hubs(large))
+    dealt = here.join(classes.select("k", "sig"), "k").select("node", "k", "sig").repartition("node").sortWithinPartitions("node")
+    first = stored(dealt.mapInArrow(_forests(least), "a bigint, b bigint").distinct(), "pairs")
+    links = stored(_confirmed(first, classes, docs, size, percent, key, text), "linked")
+    comps = stored(components(links).select(F.col("id").alias("k"), "component"), "components")
+
+    # Pass 2.
+    here = nodes.where(F.col("tree") < AGAIN).select("node", "k")
+    if large is not None:
+        here = here.unionByName(_branched(large.where(F.col("tree") < AGAIN), classes, comps, least, most))
+    told = classes.select("k", "n", "sig").join(comps, "k", "left").select("k", "n", "sig", F.coalesce("component", "k").alias("comp"))
+    dealt = here.join(told, "k").select("node", "k", "n", "sig", "comp").repartition("node").sortWithinPartitions("node")
+    cells = stored(dealt.mapInArrow(_cells(least), "cell bigint, k bigint, comp bigint, minor boolean").distinct(), "cells")
+    count = cells.count()
+    if count:
+        ends = cells.groupBy("k").agg(F.collect_set("cell").alias("cells"))
+        need = stored(classes.select("id", "k", "f1", "f2").join(ends, "k").select("id", "k", "f1", "f2", "cells"), "need")
+        rows = _sets(docs, need, size, key, text, count).join(cells, ["cell", "k"]).select("cell", "k", "hashes", "comp", "minor")
+        more = rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(_compared(percent), "a bigint, b bigint")
+        more = stored(more, "linked")
         if not more.isEmpty():
-            comps = stored(components(linked.unionByName(more)), "components")
-    dropped(nodes)
+            comps = stored(components(links.unionByName(more)).select(F.col("id").alias("k"), "component"), "components")
+
     # Only classes with copies or links; every other document is alone.
-    told = classes.select("f1", "f2", "id", "m").join(comps, "id", "left").where((F.col("m") > 1) | F.col("component").isNotNull())
-    told = stored(told.select("f1", "f2", F.coalesce("component", "id").alias("c")), "told")
+    named = classes.select("f1", "f2", "k", "id", "m").join(comps, "k", "left").where((F.col("m") > 1) | F.col("component").isNotNull())
+    named = stored(named.select("f1", "f2", "id", F.coalesce("component", "k").alias("component")), "named")
+    least_id = named.groupBy("component").agg(F.min("id").alias("c"))
+    told = stored(named.join(small(least_id), "component").select("f1", "f2", "c"), "told")
     out = signed.select("id", "n", "f1", "f2").join(small(told), ["f1", "f2"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("c", "id"))
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
