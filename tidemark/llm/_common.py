@@ -1,12 +1,66 @@
-"""What the operators share: the scratch folder, stored tables, hold-out fold, bounded samples."""
+"""What the operators share: the scratch folder, stored tables, Arrow functions and their memory, hold-out fold, samples."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+#: Bytes of an Arrow batch to a Python worker; such batches are held in the executor and in the worker.
+BATCH_BYTES = 8 << 20
+_STORES: dict[tuple, Any] = {}
+
+
+def released() -> None:
+    """Gives memory that this process has freed back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def worker_store(name: tuple, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps for its next tasks: one store, so another one's name drops it."""
+    if name not in _STORES:
+        _only(None)
+        _STORES[name] = make()
+    return _STORES[name]
+
+
+def _only(kind: str | None) -> None:
+    """Drops a store of another kind."""
+    if any(name[0] != kind for name in _STORES):
+        _STORES.clear()
+        released()
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType, store: str | None = None) -> DataFrame:
+    """df.mapInArrow(run, schema) with small batches; a task that ends gives its memory back.
+
+    Of what its worker has kept, a task leaves only the kind of store it uses. Batches are bounded by a setting of the
+    session, as Spark has no other way; a smaller one is left as it is.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(name, "64m").removesuffix("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+
+    def ending(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _only(store)
+        yield from run(batches)
+        released()
+
+    return df.mapInArrow(ending, schema)
 
 
 def scratch_dir(spark: SparkSession) -> str:

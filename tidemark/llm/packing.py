@@ -20,9 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm._common import stored
+from tidemark.llm._common import BATCH_BYTES, mapped, stored
 from tidemark.llm.bpe import slices
-from tidemark.llm.tokenize import encoded
+from tidemark.llm.tokenize import packed, tokenizer
 
 #: Items in a group, on average; gap groups that exchange items at a time; rounds of exchange.
 GROUP, FAN, ROUNDS = 4096, 8, 3
@@ -30,27 +30,22 @@ GROUP, FAN, ROUNDS = 4096, 8, 3
 
 def pieces(df: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 2048, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, piece, start, length, ids): the documents' ids with end_id after them, cut to capacity; ids packed as u32."""
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for some in slices(b, 1):
-                row, piece, start, length, ids = [], [], [], [], []
-                for at, x in enumerate(encoded(tokenizer_path, some.column(1).to_pylist())):
-                    x += end
-                    n, begin, k = len(x) // 4, 0, 0
-                    upto = n % capacity or capacity
-                    while begin < n:
-                        row.append(at)
-                        piece.append(k)
-                        start.append(begin)
-                        length.append(upto - begin)
-                        ids.append(x[4 * begin : 4 * upto])
-                        begin, upto, k = upto, upto + capacity, k + 1
-                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())], [key, "piece", "start", "length", "ids"])
+            for some in slices(b, 1, BATCH_BYTES):
+                ids, ends = tokenizer(tokenizer_path).encode_column(some.column(1), [end_id])
+                n = np.diff(ends, prepend=0)
+                count = -(-n // capacity)
+                row = np.repeat(np.arange(len(n)), count)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                # All pieces but the first are full.
+                start = np.where(piece > 0, n[row] - (count[row] - piece) * capacity, 0)
+                length = np.where(piece > 0, capacity, n[row] - (count[row] - 1) * capacity)
+                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), packed(ids, np.cumsum(length))], [key, "piece", "start", "length", "ids"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, piece int, start bigint, length bigint, ids binary")
+    return mapped(df.select(key, text), run, f"`{key}` {kind}, piece int, start bigint, length bigint, ids binary", "tokenizer")
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:

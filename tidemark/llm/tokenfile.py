@@ -23,9 +23,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import rans
-from tidemark.llm._common import new_path, small, stored
+from tidemark.llm._common import BATCH_BYTES, mapped, new_path, small, stored
 from tidemark.llm.bpe import slices
-from tidemark.llm.tokenize import encoded, tokenizer
+from tidemark.llm.tokenize import packed, tokenizer
 
 #: A block ends with the document that brings it to so many ids.
 BLOCK_IDS = 1 << 20
@@ -33,17 +33,22 @@ BLOCK_IDS = 1 << 20
 
 def tokenise(df: DataFrame, tokenizer_path: str, end_id: int, key: str = "doc_id", text: str = "text", dtype: str = "<u4") -> DataFrame:
     """(key, ids): packed ids of text, end_id after them; dtype tells how wide."""
-    end = np.array([end_id], "<u4").tobytes()
-    pack = (lambda x: x) if dtype == "<u4" else (lambda x: np.frombuffer(x, "<u4").astype(dtype).tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for some in slices(b, 1):
-                ids = [pack(x + end) for x in encoded(tokenizer_path, some.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(ids, pa.binary())], [key, "ids"])
+            for some in slices(b, 1, BATCH_BYTES):
+                ids, ends = tokenizer(tokenizer_path).encode_column(some.column(1), [end_id])
+                yield pa.RecordBatch.from_arrays([some.column(0), packed(ids.astype(dtype), ends)], [key, "ids"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, ids binary")
+    return mapped(df.select(key, text), run, f"`{key}` {kind}, ids binary", "tokenizer")
+
+
+def _joined(ids: pa.Array, dtype: str) -> tuple[np.ndarray, np.ndarray]:
+    """The packed ids of all rows, one after another; where each row's begin, and the end of the last."""
+    offsets = np.frombuffer(ids.buffers()[1], np.int32, len(ids) + 1, 4 * ids.offset).astype(np.int64) // np.dtype(dtype).itemsize
+    values = np.frombuffer(ids.buffers()[2] or b"", dtype)
+    return values[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
 def id_counts(ids: DataFrame, vocabulary: int, dtype: str) -> np.ndarray:
@@ -52,15 +57,13 @@ def id_counts(ids: DataFrame, vocabulary: int, dtype: str) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(vocabulary, np.int64)
         for b in batches:
-            for x in b.column(0):
-                n += np.bincount(np.frombuffer(x.as_buffer(), dtype), minlength=vocabulary) if len(x.as_buffer()) > vocabulary else 0
-            short = [x.as_buffer() for x in b.column(0) if len(x.as_buffer()) <= vocabulary]
-            if short:
-                n += np.bincount(np.frombuffer(b"".join(short), dtype), minlength=vocabulary)
+            values, _ = _joined(b.column(0), dtype)
+            for at in range(0, len(values), 1 << 20):
+                n += np.bincount(values[at : at + (1 << 20)], minlength=vocabulary)
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some])], ["id", "n"])
 
-    rows = ids.select("ids").mapInArrow(run, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = mapped(ids.select("ids"), run, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(vocabulary, np.int64)
     for r in rows:
         counts[r["id"]] = r["n"]
@@ -81,32 +84,44 @@ def write(df: DataFrame, path: str, tokenizer_path: str, end_id: int, key: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
-        docs, packs, held = [], [], 0
+        docs, sizes, packs, held = [], [], [], 0
 
         def block() -> pa.RecordBatch:
-            all_ids = np.frombuffer(b"".join(packs), dtype).astype(np.uint32)
-            step = np.dtype(dtype).itemsize
-            return pa.RecordBatch.from_pydict(
-                {"part": [part], "seq": [seq], "docs": [docs], "lengths": [[len(x) // step for x in packs]], "n_ids": [len(all_ids)], "block": [rans.encode_block(all_ids, table)]},
-                schema=pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("docs", pa.list_(arrow_kind)), ("lengths", pa.list_(pa.int64())), ("n_ids", pa.int64()), ("block", pa.binary())]),
+            all_ids = np.concatenate(packs).astype(np.uint32)
+            lengths = np.concatenate(sizes)
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([part], pa.int32()),
+                    pa.array([seq], pa.int32()),
+                    pa.ListArray.from_arrays([0, len(lengths)], pa.concat_arrays(docs)),
+                    pa.ListArray.from_arrays([0, len(lengths)], pa.array(lengths, pa.int64())),
+                    pa.array([len(all_ids)], pa.int64()),
+                    pa.array([rans.encode_block(all_ids, table)], pa.binary()),
+                ],
+                ["part", "seq", "docs", "lengths", "n_ids", "block"],
             )
 
-        arrow_kind = pa.int64()
         for b in batches:
-            arrow_kind = b.column(0).type
-            for doc, pack in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                docs.append(doc)
-                packs.append(pack)
-                held += len(pack) // np.dtype(dtype).itemsize
+            values, offsets = _joined(b.column(1), dtype)
+            at = 0
+            while at < b.num_rows:
+                # Up to the document that fills the block.
+                upto = min(b.num_rows, int(np.searchsorted(offsets, offsets[at] + BLOCK_IDS - held)))
+                upto = max(upto, at + 1)
+                docs.append(b.column(0).slice(at, upto - at))
+                sizes.append(np.diff(offsets[at : upto + 1]))
+                packs.append(values[offsets[at] : offsets[upto]])
+                held += int(offsets[upto] - offsets[at])
+                at = upto
                 if held >= BLOCK_IDS:
                     yield block()
-                    docs, packs, held, seq = [], [], 0, seq + 1
+                    docs, sizes, packs, held, seq = [], [], [], 0, seq + 1
         if docs:
             yield block()
 
     order = [F.col(key).asc_nulls_first(), F.xxhash64("ids"), "row"]
     ordered = ids.repartitionByRange(*order).sortWithinPartitions(*order).select(key, "ids")
-    blocks = ordered.mapInArrow(run, f"part int, seq int, docs array<{kind}>, lengths array<bigint>, n_ids bigint, block binary")
+    blocks = mapped(ordered, run, f"part int, seq int, docs array<{kind}>, lengths array<bigint>, n_ids bigint, block binary")
     blocks.write.option("compression", "uncompressed").parquet(f"{path}/blocks")
 
 
@@ -126,16 +141,15 @@ def read(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
         for b in batches:
             for row in range(b.num_rows):
                 docs, lengths, block, base = (b.column(i)[row] for i in range(4))
-                n = np.array(lengths.as_py(), np.int64)
-                packed = rans.decode_block(block.as_py(), table).astype("<u4").tobytes()
+                n = lengths.values.to_numpy()
+                ids = rans.decode_block(block.as_buffer(), table)
                 ends = np.cumsum(n)
                 for at in range(0, len(n), 1000):
-                    upto = slice(at, at + 1000)
-                    ids = [packed[4 * (e - k) : 4 * e] for e, k in zip(ends[upto].tolist(), n[upto].tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([docs.values[upto], pa.array(base.as_py() + ends[upto] - n[upto]), pa.array(n[upto]), pa.array(ids, pa.binary())], [key, "start", "n_tokens", "ids"])
+                    some, first = ends[at : at + 1000], ends[at] - n[at]
+                    yield pa.RecordBatch.from_arrays([docs.values[at : at + 1000], pa.array(base.as_py() + some - n[at : at + 1000]), pa.array(n[at : at + 1000]), packed(ids[first : some[-1]], some - first)], [key, "start", "n_tokens", "ids"])
 
     rows = blocks.join(small(starts), ["part", "seq"]).select("docs", "lengths", "block", "base")
-    return rows.mapInArrow(run, f"`{key}` {kind}, start bigint, n_tokens bigint, ids binary")
+    return mapped(rows, run, f"`{key}` {kind}, start bigint, n_tokens bigint, ids binary")
 
 
 def written(df: DataFrame, tokenizer_path: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
