@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import stored
+from tidemark.llm._common import mapped, stored
 from tidemark.llm.vectors import dots, matrix, norms, usable
 
 #: Bound on the queries sent to all tasks at once; vectors that a task looks at together.
@@ -56,7 +56,7 @@ def index(df: DataFrame, key: str = "vec_id", vec: str = "embedding") -> DataFra
 
     kind = df.schema[key].dataType.simpleString()
     rows = df.where(usable(F.col(vec)) & F.col(key).isNotNull()).select(key, F.col(vec).cast("array<double>"))
-    return rows.mapInArrow(run, f"`{key}` {kind}, vec binary, dim int, code binary, correction double")
+    return mapped(rows, run, f"`{key}` {kind}, vec binary, dim int, code binary, correction double")
 
 
 class Best:
@@ -143,7 +143,7 @@ def search(df: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vec
                     ids = by_dim[at[0]][0][at[1] :]
                     yield pa.RecordBatch.from_arrays([pa.array(ids[one.q]), pa.array(one.id), pa.array(one.score)], ["query_id", "vec_id", "score"])
 
-        some = table.mapInArrow(run, f"query_id {kind}, vec_id {kind}, score double")
+        some = mapped(table, run, f"query_id {kind}, vec_id {kind}, score double")
         some = stored(some, "found") if blocks > 1 else some
         found = some if found is None else found.unionByName(some)
     if found is None:

@@ -17,7 +17,6 @@ import base64
 import re
 from array import array
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -27,6 +26,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tidemark.llm._common import mapped, worker_store
+
 # The characters with the Unicode property White_Space, as a class body.
 WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 #: An optional space and a run of other characters, or white space; no match of the usual pattern crosses its bounds.
@@ -221,9 +222,8 @@ class TextEncoder:
         return self.encode_all([text])[0]
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str, pattern: str) -> TextEncoder:
-    return TextEncoder(PrefixBPE(read_ranks(path)), pattern)
+    return worker_store(("bpe", path, pattern), lambda: TextEncoder(PrefixBPE(read_ranks(path)), pattern))
 
 
 def portions(texts: list[str | None], chars: int = 3_000_000) -> Iterator[list[str | None]]:
@@ -262,7 +262,7 @@ def _mapped(df: DataFrame, column: str, out: str, make: Callable[[], Callable[[l
                 yield pa.RecordBatch.from_arrays([*some.columns, made], [*kept, out])
 
     schema = T.StructType([*(df.schema[x] for x in kept), T.StructField(out, T.BinaryType())])
-    return df.select(*(f"`{x}`" for x in kept)).mapInArrow(run, schema)
+    return mapped(df.select(*(f"`{x}`" for x in kept)), run, schema, "bpe")
 
 
 def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:

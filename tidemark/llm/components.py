@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import dropped, stored
+from tidemark.llm._common import dropped, mapped, stored
 
 SOLO = 1 << 20
 
@@ -63,7 +63,7 @@ def _alone(edges: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(ids[found], kind)], ["id", "component"])
 
     kind = edges.schema["u"].dataType.simpleString()
-    return edges.coalesce(1).mapInArrow(run, f"id {kind}, component {kind}")
+    return mapped(edges.coalesce(1), run, f"id {kind}, component {kind}")
 
 
 def components(edges: DataFrame, rounds: int = 60, solo: int | None = None) -> DataFrame:

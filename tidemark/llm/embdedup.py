@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import small, stored
+from tidemark.llm._common import mapped, small, stored
 from tidemark.llm.components import components
 from tidemark.llm.vectors import dots, matrix, norms, usable
 
@@ -118,7 +118,7 @@ def near_duplicates(df: DataFrame, least: float = 0.98, key: str = "vec_id", vec
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(dims.astype(np.int32)), pa.array(cell)], [*b.schema.names, "dim", "cell"])
 
     schema = classes.withColumns({"dim": F.lit(0), "cell": F.lit(0).cast("bigint")}).schema
-    table = stored(classes.mapInArrow(placed, schema), "classes")
+    table = stored(mapped(classes, placed, schema), "classes")
     # Sub-blocks of each cell: a row for each label and cell.
     cells = table.groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("subs"))
     ahead = cells.select("label", "dim", (F.col("cell") - 1).alias("cell"), F.col("subs").alias("ahead"))

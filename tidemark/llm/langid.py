@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import bounded
+from tidemark.llm._common import bounded, mapped
 from tidemark.llm.bpe import WHITE_SPACE, slices
 
 UNKNOWN = "und"
@@ -60,15 +60,14 @@ class Model:
         words = self.words
         base = len(words)
         new = [w for w in set().union(*parts) if w not in words]
-        if new:
-            grams = [subwords(w, buckets) for w in new]
+        made = [np.empty((0, k + 1))]
+        for at in range(0, len(new), 4000):
+            grams = [subwords(w, buckets) for w in new[at : at + 4000]]
             n = np.array([len(g) for g in grams])
             flat = self.table[np.concatenate(grams)]
-            made = np.hstack([np.add.reduceat(flat, np.concatenate([[0], np.cumsum(n)[:-1]])), n[:, None]])
-            words.update(zip(new, range(base, base + len(new)), strict=True))
-        else:
-            made = np.empty((0, k + 1))
-        known = np.vstack([*self.sums, made]) if self.sums else made
+            made.append(np.hstack([np.add.reduceat(flat, np.concatenate([[0], np.cumsum(n)[:-1]])), n[:, None]]))
+        words.update(zip(new, range(base, base + len(new)), strict=True))
+        known = np.vstack([*self.sums, *made])
         out = np.tile(self.bias, (len(texts), 1)).astype(float)
         get = words.__getitem__
         for i, x in enumerate(parts):
@@ -142,7 +141,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), pa.array(ids, pa.binary()), pa.array(shares, pa.binary())], ["key", "lang", "ids", "shares"])
 
     kind = docs.schema[key].dataType.simpleString()
-    got = chosen.mapInArrow(counted, f"key {kind}, lang string, ids binary, shares binary").collect()
+    got = mapped(chosen, counted, f"key {kind}, lang string, ids binary, shares binary").collect()
     got = sorted(((zlib.crc32(str(r["key"]).encode(), 1), r["lang"], np.frombuffer(r["ids"], "<i4"), np.frombuffer(r["shares"], "<f4").astype(float)) for r in got if r["ids"]), key=lambda r: (r[0], r[1]))
     languages = sorted({r[1] for r in got})
     if not languages:
@@ -175,4 +174,4 @@ def identify(df: DataFrame, model: Model, text: str = "text", names: tuple[str,
 
     plain = df.select(*(f"`{x}`" for x in kept))
     schema = plain.withColumns({names[0]: F.lit(""), names[1]: F.lit(0.0), names[2]: F.lit(False)}).schema
-    return plain.mapInArrow(run, schema)
+    return mapped(plain, run, schema)

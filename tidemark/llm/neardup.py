@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import dropped, small, stored
+from tidemark.llm._common import dropped, mapped, small, stored
 from tidemark.llm.bpe import slices
 from tidemark.llm.components import components
 
@@ -138,7 +138,7 @@ def signatures(df: DataFrame, size: int, key: str = "doc_id", text: str = "text"
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(roots, pa.list_(pa.int64())), pa.array(sig, pa.binary())], ["id", "n", "f1", "f2", "roots", "sig"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInArrow(run, f"id {kind}, n bigint, f1 bigint, f2 bigint, roots array<bigint>, sig binary")
+    return mapped(df.select(F.col(f"`{key}`"), F.col(f"`{text}`")), run, f"id {kind}, n bigint, f1 bigint, f2 bigint, roots array<bigint>, sig binary")
 
 
 def _floor(least: float) -> float:
@@ -323,7 +323,7 @@ def _sets(docs: DataFrame, need: DataFrame, size: int, key: str, text: str, cell
     texts = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("x"))
     # At most 48 bytes for a row and 8 for each of its cells.
     side = F.broadcast(need) if cells * 56 <= 64 << 20 else need
-    return texts.join(side, "id").select("x", "k", "f1", "f2", "cells").mapInArrow(run, "cell bigint, k bigint, hashes binary")
+    return mapped(texts.join(side, "id").select("x", "k", "f1", "f2", "cells"), run, "cell bigint, k bigint, hashes binary")
 
 
 def _linked(percent: int):
@@ -402,7 +402,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
     need = stored(classes.select("id", "k", "f1", "f2").join(ends, "k").select("id", "k", "f1", "f2", "cells"), "need")
     sets = _sets(docs, need, size, key, text, 2 * count).withColumn("a", F.lit(None).cast("bigint"))
     rows = sets.unionByName(pairs.select("cell", F.col("b").alias("k"), F.lit(None).cast("binary").alias("hashes"), "a"))
-    return rows.repartition("cell").sortWithinPartitions("cell", F.col("a").asc_nulls_first(), "k").mapInArrow(_linked(percent), "a bigint, b bigint")
+    return mapped(rows.repartition("cell").sortWithinPartitions("cell", F.col("a").asc_nulls_first(), "k"), _linked(percent), "a bigint, b bigint")
 
 
 def _small_nodes(nodes: DataFrame) -> tuple[DataFrame, DataFrame | None, int]:
@@ -490,7 +490,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     # Pass 1.
     here = nodes.select("node", "k") if large is None else nodes.select("node", "k").unionByName(_with_hubs(large))
     dealt = here.join(classes.select("k", "sig"), "k").select("node", "k", "sig").repartition("node").sortWithinPartitions("node")
-    first = stored(dealt.mapInArrow(_forests(least), "a bigint, b bigint").distinct(), "pairs")
+    first = stored(mapped(dealt, _forests(least), "a bigint, b bigint").distinct(), "pairs")
     links = stored(_confirmed(first, classes, docs, size, percent, key, text), "linked")
     comps = stored(components(links).select(F.col("id").alias("k"), "component"), "components")
 
@@ -500,13 +500,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
         here = here.unionByName(_branched(large.where(F.col("tree") < AGAIN), classes, comps, least, most))
     told = classes.select("k", "n", "sig").join(comps, "k", "left").select("k", "n", "sig", F.coalesce("component", "k").alias("comp"))
     dealt = here.join(told, "k").select("node", "k", "n", "sig", "comp").repartition("node").sortWithinPartitions("node")
-    cells = stored(dealt.mapInArrow(_cells(least), "cell bigint, k bigint, comp bigint, minor boolean").distinct(), "cells")
+    cells = stored(mapped(dealt, _cells(least), "cell bigint, k bigint, comp bigint, minor boolean").distinct(), "cells")
     count = cells.count()
     if count:
         ends = cells.groupBy("k").agg(F.collect_set("cell").alias("cells"))
         need = stored(classes.select("id", "k", "f1", "f2").join(ends, "k").select("id", "k", "f1", "f2", "cells"), "need")
         rows = _sets(docs, need, size, key, text, count).join(cells, ["cell", "k"]).select("cell", "k", "hashes", "comp", "minor")
-        more = rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(_compared(percent), "a bigint, b bigint")
+        more = mapped(rows.repartition("cell").sortWithinPartitions("cell"), _compared(percent), "a bigint, b bigint")
         more = stored(more, "linked")
         if not more.isEmpty():
             comps = stored(components(links.unionByName(more)).select(F.col("id").alias("k"), "component"), "components")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import bounded
+from tidemark.llm._common import bounded, mapped
 from tidemark.llm.bpe import slices
 
 STATISTICS = (
@@ -114,7 +114,7 @@ def _with_statistics(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*some.columns[:at], pa.array(stats, pa.list_(pa.float64()))], [*keep, "stats"])
 
     kinds = ", ".join(f"`{x}` {df.schema[x].dataType.simpleString()}" for x in keep)
-    return df.select(*(f"`{x}`" for x in keep), text).mapInArrow(run, f"{kinds}, stats array<double>")
+    return mapped(df.select(*(f"`{x}`" for x in keep), text), run, f"{kinds}, stats array<double>")
 
 
 def _summed(df: DataFrame, schema: str, of, second: int = 16) -> pd.DataFrame:
@@ -197,7 +197,7 @@ def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -
                 yield pa.RecordBatch.from_arrays([*some.columns, pa.array(model.score(x))], [*kept, out])
 
     schema = df.select(*(f"`{x}`" for x in kept)).withColumn(out, F.lit(0.0)).schema
-    return df.select(*(f"`{x}`" for x in kept)).mapInArrow(run, schema)
+    return mapped(df.select(*(f"`{x}`" for x in kept)), run, schema)
 
 
 def accepted(score: Column) -> Column:
