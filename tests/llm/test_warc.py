@@ -3,6 +3,8 @@
 import hashlib
 import random
 
+from pyspark.sql import functions as F
+
 from tidemark.llm import warc
 from tidemark.llm.queries import QUERIES
 
@@ -37,3 +39,41 @@ def test_query_covers_all_pages(spark):
     assert len(rows) == 2 * len(pages) and {r.record_id for r in rows} == {2 * i + k for i in pages for k in (0, 1)}
     for r in rows:
         assert r.payload_sha256 == hashlib.sha256(pages[r.source_id // 2].encode()).hexdigest()
+
+
+def test_validators_and_headers(spark):
+    a = "http://a.org/x"
+    full = {"ETag": '"1"', "Last-Modified": "Mon", "Content-Length": "9", "X-Old": "o", "Date": "d1"}
+    rows = [
+        (1, "response", a, 1, "one", full),
+        (2, "revisit", a, 2, None, {"etag": 'W/"1"', "Date": "d2", "Content-Length": "0", "X-New": "n", "Connection": "close"}),
+        (3, "revisit", a, 3, None, {"ETag": '"2"', "Last-Modified": "Mon"}),
+        (4, "revisit", a, 4, None, {"LAST-MODIFIED": "Mon"}),
+        (5, "revisit", a, 5, None, {"Last-Modified": "Tue"}),
+        (6, "revisit", a, 6, None, None),
+        (7, "revisit", a, 0, None, {"ETag": '"1"'}),
+    ]
+    df = spark.createDataFrame(rows, KIND + ", headers map<string,string>").withColumn("source_id", F.lit("clash"))
+    got = {r.record_id: (r.source_id, r.checked, r.headers) for r in warc.resolve(df).collect()}
+    small = {k.lower(): v for k, v in full.items()}
+    assert got == {
+        1: (1, "own", small),
+        2: (1, "etag", {**small, "etag": 'W/"1"', "date": "d2", "x-new": "n"}),
+        3: (None, "differs", {"etag": '"2"', "last-modified": "Mon"}),
+        4: (1, "last-modified", small),
+        5: (None, "differs", {"last-modified": "Tue"}),
+        6: (1, "unchecked", small),
+        7: (None, "none", {"etag": '"1"'}),
+    }
+    assert warc.resolve(df.limit(0)).count() == 0
+
+
+def test_one_url_over_many_ranges(spark):
+    rnd = random.Random(2)
+    rows = [(i, "response" if rnd.random() < 0.02 else "revisit", "http://a.org/", rnd.randrange(3000), None) for i in range(3000)]
+    df = spark.createDataFrame(rows, KIND).repartition(8)
+    got = {r.record_id: r.source_id for r in warc.resolve(df).collect()}
+    answers = sorted((t, i) for i, k, _, t, _ in rows if k == "response")
+    for i, k, _, t, _ in rows:
+        before = [x for x in answers if x[0] <= t]
+        assert got[i] == (i if k == "response" else before[-1][1] if before else None)

@@ -45,7 +45,8 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.records_of(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
-    return warc.resolve(records).select("record_id", "type", "url", "time", "source_id", F.sha2("payload", 256).alias("payload_sha256"))
+    lines = warc.header_lines(F.col("headers"))
+    return warc.resolve(records).select("record_id", "type", "url", "time", "source_id", "checked", F.sha2("payload", 256).alias("payload_sha256"), F.sha2(lines, 256).alias("headers_sha256"))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
