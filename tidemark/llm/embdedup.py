@@ -55,20 +55,22 @@ def links(a: np.ndarray, b: np.ndarray, least: float, projections: int, width: f
     pa_, pb = (a / na[:, None]) @ g, (b / nb[:, None]) @ g
     need, window = least_collisions(projections, width), width * reach + 1e-9
     left, right = [], []
-    # b sorted by the first projection: the windows centred at a run of a cover one run of b.
-    order_a, order_b = np.argsort(pa_[:, 0], kind="stable"), np.argsort(pb[:, 0], kind="stable")
-    first = pb[order_b, 0]
-    for at in range(0, len(a), 128):
-        some = order_a[at : at + 128]
-        lo = np.searchsorted(first, pa_[some[0], 0] - CELL * reach - 1e-9)
-        hi = np.searchsorted(first, pa_[some[-1], 0] + CELL * reach + 1e-9, "right")
-        near = order_b[lo:hi]
-        hits = np.zeros((len(some), len(near)), np.uint16)
+    # Each projection's values of b as a sorted run; the window centred at a row of a is a part of it.
+    order = np.argsort(pb, axis=0, kind="stable")
+    runs = np.take_along_axis(pb, order, axis=0)
+    lo = np.stack([np.searchsorted(runs[:, k], pa_[:, k] - window) for k in range(projections)])
+    hi = np.stack([np.searchsorted(runs[:, k], pa_[:, k] + window, "right") for k in range(projections)])
+    for at in range(0, len(a), 64):
+        rows = np.arange(at, min(at + 64, len(a)))
+        hits = np.zeros(len(rows) * len(b), np.uint16)
         for k in range(projections):
-            hits += np.abs(pa_[some, k][:, None] - pb[near, k][None, :]) <= window
-        i, j = np.nonzero(hits >= need)
-        left.append(some[i])
-        right.append(near[j])
+            n = hi[k, rows] - lo[k, rows]
+            inside = np.repeat(lo[k, rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            # A row of b is in a window once at most.
+            hits[np.repeat((rows - at) * len(b), n) + order[inside, k]] += 1
+        i, j = np.divmod(np.flatnonzero(hits >= need), len(b))
+        left.append(rows[i])
+        right.append(j)
     i, j = np.concatenate(left), np.concatenate(right)
     if same:
         i, j = i[i < j], j[i < j]
