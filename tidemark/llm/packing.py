@@ -12,6 +12,7 @@ document id is kept.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +25,8 @@ from tidemark.llm._common import BATCH_BYTES, mapped, stored
 from tidemark.llm.bpe import slices
 from tidemark.llm.tokenize import packed, tokenizer
 
-#: Items in a group, on average; gap groups that exchange items at a time; rounds of exchange.
-GROUP, FAN, ROUNDS = 4096, 8, 3
+#: Items in a group, on average; groups that exchange items at a time.
+GROUP, FAN = 4096, 8
 
 
 def pieces(df: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 2048, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -91,13 +92,15 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return bin_of, offset, bins
 
 
-def pack(items: DataFrame, capacity: int = 2048, length: str = "length", group: int = GROUP, fan: int = FAN, rounds: int = ROUNDS) -> DataFrame:
+def pack(items: DataFrame, capacity: int = 2048, length: str = "length", group: int = GROUP, fan: int = FAN) -> DataFrame:
     """items with sequence_id, offset, and bins and bound of the group that packed them last.
 
     Columns of these names are replaced. Lengths must be from 1 to capacity.
     """
-    kept = [x for x in items.columns if x not in ("sequence_id", "offset", "bins", "bound", "_row", "_group", "_open")]
-    base = stored(items.select(*(f"`{x}`" for x in kept), F.monotonically_increasing_id().alias("_row")), "items")
+    kept = [x for x in items.columns if x not in ("sequence_id", "offset", "bins", "bound")]
+    # What is the caller's stays in one struct, so that no name of theirs meets one of ours.
+    own = F.struct(*(F.col(f"`{x}`") for x in kept)).alias("own")
+    base = stored(items.select(own, F.col(f"`{length}`").cast("bigint").alias("length"), F.monotonically_increasing_id().alias("_row")), "items")
     n = base.count()
     schema = T.StructType([*base.schema, *(T.StructField(x, T.LongType()) for x in ("sequence_id", "offset", "bins", "bound")), T.StructField("_group", T.LongType()), T.StructField("_open", T.BooleanType())])
 
@@ -105,8 +108,8 @@ def pack(items: DataFrame, capacity: int = 2048, length: str = "length", group:
 
     def packer(round_no: int):
         def run(t: pa.Table) -> pa.Table:
-            t = t.combine_chunks().sort_by([(length, "descending"), ("_row", "ascending")])
-            sizes = t.column(length).to_numpy().astype(np.int64)
+            t = t.combine_chunks().sort_by([("length", "descending"), ("_row", "ascending")])
+            sizes = t.column("length").to_numpy()
             name = t.column("_group")[0].as_py()
             bin_of, offset, bins = best_fit(sizes, capacity)
             bound = lower_bound(sizes, capacity)
@@ -115,12 +118,10 @@ def pack(items: DataFrame, capacity: int = 2048, length: str = "length", group:
                 old, there = np.unique(t.column("sequence_id").to_numpy(), return_inverse=True)
                 if bins >= len(old):
                     seq, offset, bin_of, bins = t.column("sequence_id").to_numpy(), t.column("offset").to_numpy(), there, len(old)
-            loose = np.zeros(len(sizes), bool)
-            if bins > bound:
-                filled, held = np.bincount(bin_of, sizes, bins), np.bincount(bin_of, minlength=bins)
-                order = np.argsort(filled, kind="stable")
-                some = order[: max(2, int(np.searchsorted(np.cumsum(held[order]), group // fan)))]
-                loose = np.isin(bin_of, some)
+            filled, held = np.bincount(bin_of, sizes, bins), np.bincount(bin_of, minlength=bins)
+            order = np.argsort(filled, kind="stable")
+            some = order[: max(2, int(np.searchsorted(np.cumsum(held[order]), group // fan)))] if bins > bound else order[:1]
+            loose = np.isin(bin_of, some[filled[some] < capacity])
             made = {"sequence_id": seq, "offset": offset, "bins": np.full(len(sizes), bins), "bound": np.full(len(sizes), bound), "_group": np.full(len(sizes), name), "_open": loose}
             return pa.Table.from_arrays([*(t.column(x) for x in plain), *(pa.array(made[x]) for x in made_names)], [*plain, *made_names])
 
@@ -131,12 +132,14 @@ def pack(items: DataFrame, capacity: int = 2048, length: str = "length", group:
         return named.groupBy("_group").applyInArrow(packer(round_no), schema)
 
     state, done = stored(dealt(base, "_row", -(-n // group), 0), "packed"), []
-    for round_no in range(1, rounds + 1):
-        gaps = state.where("_open").select("_group").distinct().count()
+    for round_no in itertools.count(1):
+        gaps, items_left = state.where("_open").agg(F.count_distinct("_group"), F.count("*")).first()
         if gaps < 2:
             break
         done.append(state.where(~F.col("_open")))
-        state = stored(dealt(state.where("_open"), "_group", -(-gaps // fan), round_no), "packed")
+        # Each round leaves a part of the groups; the last ones meet in one, as do all whose items fit in one.
+        groups = 1 if items_left <= group else -(-gaps // fan)
+        state = stored(dealt(state.where("_open"), "_group", groups, round_no), "packed")
     for x in done:
         state = state.unionByName(x)
-    return state.drop("_row", "_group", "_open")
+    return state.select(*(F.col("own").getField(x).alias(x) for x in kept), "sequence_id", "offset", "bins", "bound")
