@@ -11,6 +11,8 @@ all judged; links within a host are no edges.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,12 +57,14 @@ def host_links(pages: DataFrame, host: str, html: str) -> DataFrame:
     return links.select("src", dst.alias("dst")).where((F.col("dst") != "") & (F.col("dst") != F.col("src"))).groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, rounds: int = 50) -> DataFrame:
+def spread(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
     """(host, trust, distrust) from edges (src, dst, n) and seeds (host, trust, distrust).
 
     Both walks run as one: rows (walk, host, mass) meet rows (walk, src, dst, weight). Each round is a table in the
-    shared folder; the rounds end when the masses move by less than the tolerance in all.
+    shared folder; the rounds end when the masses move by less than the tolerance in all. What moves shrinks by damping
+    a round, so that comes after log(tolerance / 2) / log(damping) rounds at the latest.
     """
+    rounds = math.ceil(math.log(tolerance / 2) / math.log(damping)) + 1
     ahead = edges.join(edges.groupBy("src").agg(F.sum("n").alias("all")), "src").select(F.lit(0).alias("walk"), F.col("src"), F.col("dst"), (F.col("n") / F.col("all")).alias("weight"))
     back = edges.join(edges.groupBy("dst").agg(F.sum("n").alias("all")), "dst").select(F.lit(1).alias("walk"), F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("n") / F.col("all")).alias("weight"))
     steps = stored(ahead.unionByName(back), "steps")
@@ -86,22 +90,24 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url", html
     """pages without html, with host, path, rule, verdict, trust and distrust (columns of these names are replaced)."""
     out = ["host", "path", "rule", "verdict", "trust", "distrust"]
     kept = [x for x in pages.columns if x not in (*out, html)]
-    known = pages.select(*(f"`{x}`" for x in kept), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.col(html).alias("_html"))
-    known = known.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))
-    judged = known.where(F.col("_rule").isNotNull())
-    share = lambda verdict: F.sum(F.when(F.col("_rule.verdict") == verdict, 1.0).otherwise(0.0))
+    # What is the caller's stays in one struct, so that no name of theirs meets one of ours.
+    own = F.struct(*(F.col(f"`{x}`") for x in kept)).alias("own") if kept else F.lit(None).alias("own")
+    known = pages.select(own, host_of(F.col(f"`{url}`")).alias("host"), path_of(F.col(f"`{url}`")).alias("path"), F.col(f"`{html}`").alias("html"))
+    known = known.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
+    judged = known.where(F.col("fit").isNotNull())
+    share = lambda verdict: F.sum(F.when(F.col("fit.verdict") == verdict, 1.0).otherwise(0.0))
     seeds = judged.groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust"))
     total = max(1, judged.count())
     seeds = seeds.select("host", (F.col("trust") / total).alias("trust"), (F.col("distrust") / total).alias("distrust"))
-    masses = spread(stored(host_links(known, "host", "_html"), "links"), seeds, **walk)
-    told = known.drop("_html").join(small(masses), "host", "left")
+    masses = spread(stored(host_links(known, "host", "html"), "links"), seeds, **walk)
+    told = known.drop("html").join(small(masses), "host", "left")
     trust, distrust = (F.coalesce(F.col(x), F.lit(0.0)) for x in ("trust", "distrust"))
     return told.select(
-        *(f"`{x}`" for x in kept),
+        *(F.col("own").getField(x).alias(x) for x in kept),
         "host",
         "path",
-        F.col("_rule.rule").alias("rule"),
-        F.coalesce(F.col("_rule.verdict"), F.when(distrust > F.lit(ratio) * trust, "block").otherwise("allow")).alias("verdict"),
+        F.col("fit.rule").alias("rule"),
+        F.coalesce(F.col("fit.verdict"), F.when(distrust > F.lit(ratio) * trust, "block").otherwise("allow")).alias("verdict"),
         trust.alias("trust"),
         distrust.alias("distrust"),
     )
