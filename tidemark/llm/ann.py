@@ -64,10 +64,11 @@ class Best:
 
     def __init__(self, queries: int, k: int):
         self.k, self.least = k, np.full(queries, -np.inf)
-        self.q, self.id, self.score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        self.q, self.id, self.score = np.empty(0, np.int64), None, np.empty(0)
 
     def add(self, q: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
-        q, ids, score = np.concatenate([self.q, q]), np.concatenate([self.id, ids]), np.concatenate([self.score, score])
+        ids = ids if self.id is None else np.concatenate([self.id, ids])
+        q, score = np.concatenate([self.q, q]), np.concatenate([self.score, score])
         # An id that repeats counts once, with its best row.
         order = np.lexsort((-score, ids, q))
         q, ids, score = q[order], ids[order], score[order]
@@ -137,7 +138,7 @@ def search(df: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vec
                         for q in range(0, len(by_dim[dim][0]), 1024):
                             i, vecs = by_dim[dim][0][q : q + 1024], by_dim[dim][1][q : q + 1024]
                             part = best[dim, q] = best.get((dim, q)) or Best(len(i), k)
-                            scan(part, vecs, i, some.column(0).to_numpy(), x, code, some.column(4).to_numpy(), sigmas)
+                            scan(part, vecs, i, np.array(some.column(0).to_pylist()), x, code, some.column(4).to_numpy(), sigmas)
             for at, one in best.items():
                 if len(one.q):
                     ids = by_dim[at[0]][0][at[1] :]
