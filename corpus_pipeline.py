@@ -15,17 +15,30 @@ from tidemark.llm import langid, neardup, packing, quality
 from tidemark.llm._common import small, stored
 
 
+def _unused(docs: DataFrame, name: str) -> str:
+    """name, with underscores before it until docs has no such column."""
+    return _unused(docs, f"_{name}") if name.lower() in (x.lower() for x in docs.columns) else name
+
+
+def _columns(docs: DataFrame) -> list:
+    return [F.col(f"`{x}`") for x in docs.columns]
+
+
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score at least 0.5 stay; the score of every document is computed from its whole text."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "quality")
-    scored = quality.score(docs, model, out="_score")
-    return scored.where(quality.accepted(F.col("_score"))).select(*docs.columns)
+    out = _unused(docs, "score")
+    return quality.score(docs, model, out=out).where(quality.accepted(F.col(out))).select(*_columns(docs))
 
 
 def language_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told stay; text without letters and calibrated rejections go."""
-    found = langid.identify(docs, langid.fit(docs), names=("_lang", "_sure", "_rejected"))
-    return found.where(~F.col("_rejected")).select(*docs.columns)
+    """Documents whose language can be told stay; text without letters and calibrated rejections go. Where no document
+    has a language to learn from, none can be rejected, and all stay."""
+    model = langid.fit(docs)
+    if not model.languages:
+        return docs
+    names = tuple(_unused(docs, x) for x in ("lang_pred", "lang_score", "rejected"))
+    return langid.identify(docs, model, names=names).where(~F.col(names[2])).select(*_columns(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +48,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     told = stored(neardup.near_duplicates(docs, size=5, percent=80), "groups")
     gone = told.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    rest = docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+    rest = docs.join(small(gone), "doc_id", "left_anti").select(*_columns(docs))
     ids = told.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
     if ids[0] == ids[1]:
         return rest
@@ -51,7 +64,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality_filter), ("language", language_filter), ("near_dedup", near_dedup), ("packing", pack)]
 
-#: Fitted models and tokenizers are beyond SQL; the tests hold each stage against a brute-force version.
+#: Fitted models and tokenizers are beyond SQL. Tests hold the near duplicates and the packing of run()'s rows against
+#: brute force and the library, and the two filters against the models' own decisions, text by text.
 ORACLE_SQL = None
 
 
