@@ -129,10 +129,11 @@ def knowledge_loss(df: DataFrame, path: str = "path", author: str = "author", se
     return out.withColumn("at_risk", F.col("owner_share") >= 0.80)
 
 
-def knowledge_loss_index(blame: DataFrame, active: DataFrame, path: str = "path", author: str = "author", lines: str = "lines", cap: int = 5000) -> DataFrame:
-    """Share of lines by authors who are no longer active; both counts end at cap."""
+def knowledge_loss_index(blame: DataFrame, active: DataFrame, path: str = "path", author: str = "author", lines: str = "lines", cap: int | None = None) -> DataFrame:
+    """Share of lines by authors who are no longer active. If cap is given, both counts end there."""
+    upto = (lambda n: F.least(n, F.lit(cap))) if cap else (lambda n: n)
     gone = blame.join(active.select(author).distinct().withColumn("_active", F.lit(1)), author, "left")
-    out = gone.groupBy(path).agg(F.least(F.sum(F.when(F.col("_active").isNull(), F.col(lines)).otherwise(0)), F.lit(cap)).alias("lost"), F.least(F.sum(lines), F.lit(cap)).alias("total"))
+    out = gone.groupBy(path).agg(upto(F.sum(F.when(F.col("_active").isNull(), F.col(lines)).otherwise(0))).alias("lost"), upto(F.sum(lines)).alias("total"))
     index = F.col("lost") / F.greatest(F.col("total"), F.lit(1))
     out = out.withColumn("index", index)
     return out.withColumn("severity", ladder(F.col("index"), [(">=", 0.4, "high"), (">=", 0.2, "medium")])).withColumn("orphaned", F.col("index") > 0.4)
