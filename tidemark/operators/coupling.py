@@ -48,12 +48,13 @@ def file_coupling(df: DataFrame, group: str = "sha", item: str = "path", least:
 
 
 def stability(df: DataFrame, order: str, group: str = "sha", item: str = "path", chronological: bool = False, margin: float = 0.1) -> DataFrame:
-    """Strength of each pair in the first and the last third of the groups in the given order.
+    """Strength of each pair in the first and the last third of the groups, and how it moves from one to the other.
 
-    Histories list the newest commit first, and the first third counts as early unless chronological is set.
+    The first third holds the groups of the greatest order, as histories list the newest commit first; if chronological
+    is set, it holds those of the least.
     """
     names = df.groupBy(group).agg(F.min(order).alias("_at"))
-    place = names.withColumns({"_i": F.row_number().over(Window.orderBy("_at", group)) - 1})
+    place = names.withColumns({"_i": F.row_number().over(Window.orderBy("_at" if chronological else F.desc("_at"), group)) - 1})
     n = names.count()
     third = n // 3
     part = F.when(F.col("_i") < third, "early").when(F.col("_i") >= n - third, "late")
@@ -64,9 +65,7 @@ def stability(df: DataFrame, order: str, group: str = "sha", item: str = "path",
     value = F.col("together") / F.greatest("ta", "tb")
     of = lambda p: F.coalesce(F.max(F.when(F.col("part") == p, value)), F.lit(0.0))
     wide = s.groupBy("a", "b").agg(of("early").alias("early"), of("late").alias("late"))
-    delta = (F.col("late") - F.col("early")) if chronological else (F.col("early") - F.col("late"))
-    delta = -delta if not chronological else delta
-    return wide.withColumn("stability", ladder(delta, [(">", margin, "tightening"), ("<", -margin, "loosening")], "stable"))
+    return wide.withColumn("stability", ladder(F.col("late") - F.col("early"), [(">", margin, "tightening"), ("<", -margin, "loosening")], "stable"))
 
 
 def changed_methods(hunks: DataFrame, methods: DataFrame) -> DataFrame:

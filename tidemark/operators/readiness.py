@@ -7,9 +7,25 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import js_round, ladder
 
-# Short names that are well known, and sizes of context.
-KNOWN_SHORT = ("i", "j", "k", "x", "y", "z", "n", "e", "id", "db", "fs", "io", "ui", "ok", "to", "it", "_")
-RESERVED = ("if", "else", "for", "while", "do", "switch", "case", "break", "continue", "return", "function", "def", "class", "const", "let", "var", "new", "try", "catch", "finally", "throw", "import", "export", "from", "as", "async", "await", "yield", "in", "of", "is", "not", "and", "or", "null", "true", "false", "this", "self", "void", "int", "string", "number", "boolean", "type", "interface", "public", "private", "static", "fn", "mut", "pub", "use", "end", "then", "elif", "pass", "with", "lambda", "None")
+# Short names that are well known, words that are no names, and sizes of context.
+KNOWN_SHORT = (
+    "i", "j", "k", "n", "m", "id", "db", "ui", "os", "fs", "io", "on", "no", "to", "in", "is", "as",
+    "of", "or", "el", "fn", "cb", "ev", "ok", "ip", "pi", "pk", "rx", "tx",
+)
+RESERVED = (
+    "const", "let", "var", "function", "return", "if", "else", "for", "while", "do", "switch", "case", "break",
+    "continue", "default", "new", "try", "catch", "finally", "throw", "typeof", "instanceof", "in", "of", "class",
+    "extends", "implements", "interface", "type", "enum", "import", "from", "export", "as", "async", "await", "yield",
+    "this", "super", "true", "false", "null", "undefined", "void", "delete", "static", "public", "private",
+    "protected", "readonly", "abstract", "override", "declare", "namespace", "module", "with", "string", "number",
+    "boolean", "bigint", "symbol", "object", "any", "unknown", "never", "def", "lambda", "pass", "global", "nonlocal",
+    "and", "or", "not", "is", "None", "True", "False", "self", "cls", "elif", "except", "raise", "assert", "print",
+    "package", "final", "volatile", "transient", "synchronized", "throws", "native", "strictfp", "using", "sealed",
+    "virtual", "out", "ref", "params", "func", "go", "chan", "select", "defer", "fallthrough", "range", "struct",
+    "map", "fn", "mut", "pub", "crate", "mod", "impl", "trait", "where", "unsafe", "match", "move", "array", "echo",
+    "isset", "unset", "foreach", "endforeach", "endif", "endwhile", "end", "begin", "ensure", "unless", "until",
+    "when", "then", "redo", "retry", "guard", "inout", "protocol", "extension", "mutating",
+)
 TIERS = (4096, 8192, 16384, 32768, 65536, 131072)
 
 
@@ -34,7 +50,7 @@ def naming_clarity(files: DataFrame, path: str = "path", content: str = "content
         path,
         n(lambda x: (F.length(x) == 1) & ~x.isin(*KNOWN_SHORT)).alias("single"),
         n(lambda x: (F.length(x) == 2) & ~x.isin(*KNOWN_SHORT)).alias("cryptic"),
-        ((n(lambda x: x.rlike("^[a-z]+[A-Z]")) > 0) & (n(lambda x: x.rlike("^[a-z0-9]+_[a-z0-9_]+$")) > 0)).cast("int").alias("mixed"),
+        ((n(lambda x: (F.length(x) > 1) & x.rlike("[a-z][A-Z]") & ~x.contains("_")) > 0) & (n(lambda x: (F.length(x) > 1) & x.contains("_") & ~x.rlike("[a-z][A-Z]")) > 0)).cast("int").alias("mixed"),
     )
     score = 10 - 0.5 * F.col("single") - 0.3 * F.col("cryptic") - 1.5 * F.col("mixed")
     return out.withColumn("score", js_round(F.greatest(F.lit(0.0), F.least(F.lit(10.0), score)) * 10) / 10)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,15 +59,22 @@ def mann_whitney(df: DataFrame, score: str, label: str, legacy_cdf: bool = False
     return out.withColumn("p", F.least(F.lit(1.0), 2 * normal_cdf(F.col("z"), legacy_cdf)))
 
 
-def bootstrap_auroc(df: DataFrame, score: str, label: str, rounds: int = 1000, level: float = 0.95, seed: int = 1) -> DataFrame:
-    """(low, high): percentile interval over Poisson resamples, each row's counts drawn from a hash of row and round.
+def bootstrap_auroc(df: DataFrame, score: str, label: str, rounds: int = 1000, level: float = 0.95, seed: int = 1, many_rows: int = 256) -> DataFrame:
+    """(low, high): percentile interval over Poisson resamples.
 
-    Rows are first counted by (score, label), so a round costs the distinct values.
+    Rows are counted by (score, label) first. A count of many rows is resampled as one normal deviate of its mean and
+    variance, fewer rows one by one, so a round costs the distinct values. All deviates are hashes of score, label, row
+    within the count, and round, so the files' layout makes no difference.
     """
-    by = df.select(F.col(score).alias("s"), F.col(label).cast("int").alias("l"), F.monotonically_increasing_id().alias("_i"))
-    u = (F.pmod(F.xxhash64("_i", "b", F.lit(seed)), F.lit(1 << 30)) + 0.5) / (1 << 30)
+    rows = df.groupBy(F.col(score).alias("s"), F.col(label).cast("int").alias("l")).agg(F.count("*").alias("m"))
+    large = F.col("m") >= many_rows
+    by = rows.select("s", "l", "m", F.explode(F.when(large, F.array(F.lit(0).cast("bigint"))).otherwise(F.sequence(F.lit(1).cast("bigint"), F.col("m")))).alias("_i"))
+    drawn = lambda k: (F.pmod(F.xxhash64("s", "l", "_i", "b", F.lit(seed + k)), F.lit(1 << 30)) + 0.5) / (1 << 30)
+    u = drawn(0)
     k = sum((F.when(u > x, 1).otherwise(0) for x in (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582)), F.lit(0))
-    many = by.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("_k", k).where("_k > 0")
+    deviate = F.sqrt(-2 * F.log(u)) * F.cos(2 * F.lit(math.pi) * drawn(1))
+    normal = F.greatest(F.lit(0), F.round(F.col("m") + F.sqrt("m") * deviate)).cast("bigint")
+    many = by.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("_k", F.when(F.col("m") >= many_rows, normal).otherwise(k)).where("_k > 0")
     each = many.groupBy("b", "s").agg(F.sum("_k").alias("n"), F.sum(F.col("_k") * F.col("l")).alias("p"))
     rank = F.sum("n").over(Window.partitionBy("b").orderBy("s")) - F.col("n") + (F.col("n") + 1) / 2
     r = each.withColumn("rank", rank).groupBy("b").agg(F.sum("p").alias("p"), (F.sum("n") - F.sum("p")).alias("q"), F.sum(F.col("p") * F.col("rank")).alias("r"))
