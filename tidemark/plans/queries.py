@@ -230,7 +230,7 @@ def changed_methods(spark, sf):
 KINDS = ["ComplexMethod", "DeepNesting", "SATD", "MagicNumber", "GodClass", "BrainMethod", "SqlInjectionRisk", "DuplicateCode", "LargeMethod", "TidyOpportunity"]
 _W = "case type " + " ".join(f"when '{k}' then {scoring.WEIGHTS[k]}" for k in KINDS) + " end"
 _KIND = "case (l_partkey + l_linenumber) % 10 " + " ".join(f"when {i} then '{k}'" for i, k in enumerate(KINDS)) + " end"
-FINDINGS = f"f as (select l_suppkey * 1000 + l_orderkey % 100 path, {_KIND} as type, cast(l_quantity as double) metric from lineitem where l_quantity < 10)"
+FINDINGS = f"f as (select l_suppkey * 1000 + l_orderkey % 100 path, {_KIND} as type, cast(l_quantity as double) metric from lineitem)"
 SUPPLIERS = "p as (select distinct l_suppkey * 1000 + l_orderkey % 100 path from lineitem)"
 
 
@@ -238,7 +238,7 @@ def findings(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     li = table(spark, sf, "lineitem")
     path = (F.col("l_suppkey") * 1000 + F.col("l_orderkey") % 100).alias("path")
     kind = F.get(F.array(*(F.lit(k) for k in KINDS)), ((F.col("l_partkey") + F.col("l_linenumber")) % 10).cast("int"))
-    f = li.where("l_quantity < 10").select(path, kind.alias("type"), F.col("l_quantity").alias("metric_value"), F.col("l_linenumber").alias("line"), F.when(F.col("l_quantity") < 2, "critical").when(F.col("l_quantity") < 4, "high").when(F.col("l_quantity") < 7, "medium").otherwise("low").alias("severity"), F.when(F.col("l_tax") > 0.04, F.col("l_linestatus")).alias("function_name"))
+    f = li.select(path, kind.alias("type"), F.col("l_quantity").alias("metric_value"), F.col("l_linenumber").alias("line"), F.when(F.col("l_quantity") < 2, "critical").when(F.col("l_quantity") < 4, "high").when(F.col("l_quantity") < 7, "medium").otherwise("low").alias("severity"), F.when(F.col("l_tax") > 0.04, F.col("l_linestatus")).alias("function_name"))
     return li.select(path).distinct(), f
 
 
@@ -295,7 +295,7 @@ def new_findings(spark, sf):
     return rules.new_findings(old, new).groupBy("path", "type", "function_name").agg(F.count("*").alias("n"))
 
 
-@query("PRJ07_without_redundant", f"""with f as (select l_suppkey * 1000 + l_orderkey % 100 path, {_KIND} as type, case when l_tax > 0.04 then l_linestatus end fn from lineitem where l_quantity < 10), h as (select distinct path, fn from f where type in ('ComplexMethod', 'DeepNesting', 'LargeMethod', 'BrainMethod'))
+@query("PRJ07_without_redundant", f"""with f as (select l_suppkey * 1000 + l_orderkey % 100 path, {_KIND} as type, case when l_tax > 0.04 then l_linestatus end fn from lineitem), h as (select distinct path, fn from f where type in ('ComplexMethod', 'DeepNesting', 'LargeMethod', 'BrainMethod'))
 select path, type, count(*) n from f where not (type = 'TidyOpportunity' and exists (select 1 from h where h.path = f.path and h.fn is not distinct from f.fn)) group by 1, 2""")
 def without_redundant(spark, sf):
     return rules.without_redundant(findings(spark, sf)[1]).groupBy("path", "type").agg(F.count("*").alias("n"))
@@ -327,7 +327,7 @@ def gate(spark, sf):
     return rules.gate(s, f)
 
 
-@query("RUL05_verdict", f"""with f as (select l_suppkey * 1000 + l_orderkey % 100 path, {_KIND} as type, l_linenumber line, case when l_quantity < 2 then 3 when l_quantity < 4 then 2 when l_quantity < 7 then 1 else 0 end r from lineitem where l_quantity < 10), {SUPPLIERS},
+@query("RUL05_verdict", f"""with f as (select l_suppkey * 1000 + l_orderkey % 100 path, {_KIND} as type, l_linenumber line, case when l_quantity < 2 then 3 when l_quantity < 4 then 2 when l_quantity < 7 then 1 else 0 end r from lineitem), {SUPPLIERS},
 w as (select path, type, r, row_number() over (partition by path order by r desc, line, type) k from f)
 select p.path, cast(10 - p.path % 7 as double) score, 10 - p.path % 7 >= 9.5 loop_complete, type next_type, case r when 3 then 'critical' when 2 then 'high' when 1 then 'medium' when 0 then 'low' end next_severity from p left join (select * from w where k = 1) w on w.path = p.path""")
 def verdict(spark, sf):
@@ -341,12 +341,12 @@ def business_case(spark, sf):
     return rules.business_case(s).select("path", r6("gain").alias("gain"), r6("saving_percent").alias("saving_percent"), "priority")
 
 
-@query("RUL09_audit_penalty", "select l_suppkey * 1000 + l_orderkey % 100 path, floor(sum(case when l_quantity < 4 then 0.3 when l_quantity < 7 then 0.15 else 0.05 end) * 1e6 + 0.5) / 1e6 penalty from lineitem where l_quantity < 10 group by 1")
+@query("RUL09_audit_penalty", "select l_suppkey * 1000 + l_orderkey % 100 path, floor(sum(case when l_quantity < 4 then 0.3 when l_quantity < 7 then 0.15 else 0.05 end) * 1e6 + 0.5) / 1e6 penalty from lineitem group by 1")
 def audit_penalty(spark, sf):
     return rules.audit_penalty(findings(spark, sf)[1]).select("path", r6("penalty").alias("penalty"))
 
 
-@query("RUL10_pick_worst", f"""with f as (select l_suppkey * 1000 + l_orderkey % 100 path, {_KIND} as type, case when l_quantity < 2 then 3 when l_quantity < 4 then 2 when l_quantity < 7 then 1 else 0 end r from lineitem where l_quantity < 10), g as (select path, type, count(*) n, max(r) rank, {_W} w from f group by 1, 2),
+@query("RUL10_pick_worst", f"""with f as (select l_suppkey * 1000 + l_orderkey % 100 path, {_KIND} as type, case when l_quantity < 2 then 3 when l_quantity < 4 then 2 when l_quantity < 7 then 1 else 0 end r from lineitem), g as (select path, type, count(*) n, max(r) rank, {_W} w from f group by 1, 2),
 k as (select *, w * (sqrt(n) - sqrt(n - 1)) gain, row_number() over (partition by path order by rank desc, w * (sqrt(n) - sqrt(n - 1)) desc, type) k from g) select path, type, n, cast(rank as bigint) rank, floor(gain * 1e6 + 0.5) / 1e6 gain from k where k = 1""")
 def pick_worst(spark, sf):
     return rules.pick_worst(findings(spark, sf)[1]).select("path", "type", "n", *big("rank"), r6("gain").alias("gain"))
@@ -490,11 +490,6 @@ def cycle_list(spark, sf):
     return graph.cycles(graph.strong_components(trade(spark, sf))).select("component", "size", "severity")
 
 
-@query("ARC07_summary")
-def graph_summary(spark, sf):
-    return graph.summary(graph.module_profile(trade(spark, sf)))
-
-
 @query("JN06_dead_exports", "select p_partkey path, p_brand as name from part where not exists (select 1 from lineitem where l_partkey = p_partkey and l_quantity > 45)")
 def dead_exports(spark, sf):
     e = table(spark, sf, "part").select(F.col("p_partkey").alias("path"), F.col("p_brand").alias("name"))
@@ -611,11 +606,6 @@ def prj_churn(spark, sf):
     return table(spark, sf, "part").select("p_partkey", paths.churn_multiplier(F.col("p_size") * 3).alias("m"))
 
 
-@query("MTH03_normal_cdf")
-def mth_cdf(spark, sf):
-    return table(spark, sf, "supplier").select("s_suppkey", normal_cdf((F.col("s_suppkey") - 50) / 20).alias("cdf"), normal_cdf((F.col("s_suppkey") - 50) / 20, legacy=True).alias("legacy"))
-
-
 @query("MTH_js_round", "select s_suppkey, cast(floor(s_acctbal + 0.5) as bigint) r from supplier")
 def mth_round(spark, sf):
     return table(spark, sf, "supplier").select("s_suppkey", js_round(F.col("s_acctbal")).alias("r"))
@@ -645,3 +635,6 @@ def stm_rolling(spark, sf):
     from tidemark.streaming.telemetry import rolling
 
     return rolling(table(spark, sf, "events"), "14 days", "event_type", "user_id")
+
+
+from tidemark.plans import more as _more  # noqa: E402,F401  registers the rest
