@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.textsmells import _found, _lines, by_line, by_match, union
+from tidemark.operators.textsmells import _found, by_line, by_match, union
 
 # The patterns below decide what is found.
 EMPTY_CATCH = r"catch\s*\([^)]*\)\s*\{\s*(?://[^\n]*)?\s*\}"
@@ -16,7 +16,8 @@ UNREACHABLE_JVM = JVM_BROAD + r"(?=[\s\S]{0,600}?\bcatch\s*\()"
 PASS_EXCEPT = r"(?m)^[ \t]*except\b[^:\n]*:[ \t]*(?:#[^\n]*)?\n(?:[ \t]*(?:#[^\n]*)?\n)*[ \t]*pass[ \t]*(?:#[^\n]*)?$"
 BROAD_EXCEPT = r"(?m)^[ \t]*except(?:[ \t]+Exception(?:[ \t]+as[ \t]+\w+)?)?[ \t]*:(?![ \t]*(?:#[^\n]*)?\n(?:[ \t]*(?:#[^\n]*)?\n)*[ \t]*pass[ \t]*(?:#[^\n]*)?(?:\n|$))"
 LOST_CAUSE_PY = r"^\s*raise\s+\w+\([^)]*str\(\w+\)[^)]*\)\s*$"
-ASYNC_NO_AWAIT = r"\basync\s+function\s*\w*\s*\([^)]*\)\s*\{(?![^{}]*(?:\{[^{}]*\}[^{}]*)*(?:\bawait\b|\bnew\s+Promise\s*\())(?:[^{}]|\{(?![^{}]*\bawait\b)[^{}]*\})*\}"
+ASYNC_TOKENS = r"\basync\s+function\s*\*?\s*\w*\s*\([^)]*\)[^{};\n]*\{|\bawait\b|\bnew\s+Promise\s*\(|[{}\n]"
+TRY_TOKENS = r"\btry\s*\{|\breturn\s+await\s+(?!Promise\.(?:all|race|allSettled|any)\b)|[{}\n]"
 ONE_ARGUMENT = r"\bnew\s+Promise\s*\(\s*(?:async\s*)?\(\s*(?!reject\b)\w+\s*\)"
 NESTED_THEN = r"\.then\s*\([^()]*\n?[^()]*(?:\([^()]*\)[^()]*)*\breturn\b(?:[^\n]*\n){0,3}?[^\n]*\.then\s*\("
 INFERENCE = r"(?:client|openai|anthropic)\.(?:chat\.completions|messages|responses)\.create\s*\(|(?:new\s+)?(?:ChatOpenAI|ChatAnthropic)\s*\("
@@ -36,19 +37,47 @@ def exceptions(files: DataFrame, path: str = "path", content: str = "content", l
     ])
 
 
+def _scanned(content: str, tokens: str, opens: str, on, closed) -> Column:
+    """Lines that one scan over the tokens of a text finds, in order of their discovery.
+
+    The state holds the line, the depth of braces, the blocks that a token starting with opens has opened, each with its
+    line and depth, and the lines found. on(state, token) gives (blocks, found) for tokens other than braces and line
+    breaks; closed(ended) the lines found when blocks end.
+    """
+    block = "array<struct<line:int,depth:int>>"
+    start = F.struct(F.lit(1).alias("line"), F.lit(0).alias("depth"), F.array().cast(block).alias("blocks"), F.array().cast("array<int>").alias("found"))
+
+    def step(s: Column, t: Column) -> Column:
+        breaks = F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))
+        opening = t.startswith(opens) & t.endswith("{")
+        other = ~(t.endswith("{") | (t == "}") | (t == "\n"))
+        blocks, found = on(s, t)
+        ended = F.filter(s["blocks"], lambda x: x["depth"] == s["depth"])
+        kept = F.filter(s["blocks"], lambda x: x["depth"] != s["depth"])
+        opened = F.concat(s["blocks"], F.array(F.struct(s["line"].alias("line"), (s["depth"] + 1).alias("depth"))))
+        return F.struct(
+            (s["line"] + breaks).cast("int").alias("line"),
+            F.when(t.endswith("{"), s["depth"] + 1).when(t == "}", s["depth"] - 1).otherwise(s["depth"]).cast("int").alias("depth"),
+            F.when(opening, opened).when(t == "}", kept).when(other, blocks).otherwise(s["blocks"]).alias("blocks"),
+            F.when(t == "}", F.concat(s["found"], closed(ended))).when(other, found).otherwise(s["found"]).alias("found"),
+        )
+
+    return F.aggregate(F.regexp_extract_all(content, F.lit(tokens), F.lit(0)), start, step, lambda s: s["found"])
+
+
 def asynchronous(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
     """Async functions that await nothing, awaited returns outside try, nested reactions, executors without reject."""
-    kind = "AsyncAntiPattern"
+    kind, none = "AsyncAntiPattern", F.array().cast("array<int>")
+    # A function's block goes as soon as something in it awaits; those left when their brace closes are found.
+    idle = _scanned(content, ASYNC_TOKENS, "async", lambda s, t: (F.array().cast("array<struct<line:int,depth:int>>"), s["found"]), lambda ended: F.transform(ended, lambda x: x["line"]))
     plain = files.withColumn(content, F.regexp_replace(content, r"//[^\n]*", ""))
-    awaited = r"\breturn\s+await\s+(?!Promise\.(?:all|race|allSettled|any)\b)"
-    lines = _lines(content)
-    # Depth of the last open try: a line is inside if a try before it has opened more braces than were closed since.
-    upto = lambda i: F.array_join(F.slice(lines, 1, i + 1), "\n")
-    tail = lambda i: F.regexp_extract(upto(i), r"(?s)^.*\btry\s*\{(.*)$", 1)
-    inside = lambda i: upto(i).rlike(r"\btry\s*\{") & (F.regexp_count(tail(i), F.lit(r"\}")) <= F.regexp_count(tail(i), F.lit(r"\{")))
-    tagged = F.transform(lines, lambda x, i: F.struct((i + 1).alias("line"), F.when(x.rlike(awaited) & ~inside(i), F.lit("low")).alias("severity")))
-    late = _found(plain.where(F.col(content).rlike(awaited)), kind, F.filter(tagged, lambda h: h["severity"].isNotNull()), path)
-    return union([by_match(files, kind, ASYNC_NO_AWAIT, "medium", path, content), late, by_match(files, kind, NESTED_THEN, "low", path, content), by_match(files, kind, ONE_ARGUMENT, "low", path, content)])
+    late = _scanned(content, TRY_TOKENS, "try", lambda s, t: (s["blocks"], F.when(F.size(s["blocks"]) == 0, F.concat(s["found"], F.array(s["line"]))).otherwise(s["found"])), lambda ended: none)
+    hits = lambda lines, severity: F.transform(lines, lambda x: F.struct(x.alias("line"), F.lit(severity).alias("severity")))
+    return union([
+        _found(files.where(F.col(content).rlike(r"\basync\s+function\b")), kind, hits(idle, "medium"), path),
+        _found(plain.where(F.col(content).rlike(r"\breturn\s+await\b")), kind, hits(late, "low"), path),
+        by_match(files, kind, NESTED_THEN, "low", path, content), by_match(files, kind, ONE_ARGUMENT, "low", path, content),
+    ])
 
 
 def model_calls(files: DataFrame, path: str = "path", content: str = "content", reach: int = 800) -> DataFrame:

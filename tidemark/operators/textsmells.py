@@ -83,10 +83,11 @@ def by_match(files: DataFrame, kind: str, pattern: str, severity: str, path: str
     parts = F.split(content, pattern, -1)
     texts = F.regexp_extract_all(content, F.lit(pattern), F.lit(0))
     breaks = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
-    # Line breaks before match i: those of the parts up to i and of the matches before it.
-    before = lambda i: F.aggregate(F.transform(F.slice(parts, 1, i), breaks), F.lit(0), lambda a, x: a + x) + F.aggregate(F.transform(F.slice(texts, 1, F.greatest(i - 1, F.lit(0))), breaks), F.lit(0), lambda a, x: a + x)
-    n = F.size(texts)
-    hits = F.transform(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), lambda i: _hit(before(i) + 1, severity))
+    # One pass over part and match, match by match, with the line breaks so far.
+    state = F.struct(F.lit(1).alias("line"), F.array().cast("array<int>").alias("lines"))
+    step = lambda s, x: F.struct((s["line"] + breaks(x["part"]) + breaks(x["text"])).cast("int").alias("line"), F.concat(s["lines"], F.array((s["line"] + breaks(x["part"])).cast("int"))).alias("lines"))
+    pairs = F.transform(texts, lambda x, i: F.struct(F.get(parts, i).alias("part"), x.alias("text")))
+    hits = F.transform(F.aggregate(pairs, state, step, lambda s: s["lines"]), lambda x: _hit(x, severity))
     if near:
         lines = _lines(content)
         around = lambda h: F.array_join(F.slice(lines, F.greatest(h["line"] - reach, F.lit(1)), F.least(h["line"], F.lit(reach + 1)) + reach), "\n")

@@ -549,11 +549,6 @@ def det_satd(spark, sf):
     return textsmells.satd(files(spark, sf)).select("path", "type", "severity", "line")
 
 
-@query("DET22_ai_satd")
-def det_ai_satd(spark, sf):
-    return textsmells.ai_satd(files(spark, sf))
-
-
 @query("DET19_magic_numbers")
 def det_magic(spark, sf):
     return textsmells.magic_numbers(files(spark, sf))
@@ -564,11 +559,6 @@ def det_large(spark, sf):
     return textsmells.large_files(files(spark, sf), most=20).select("path", "metric_value")
 
 
-@query("DET34_injections")
-def det_injections(spark, sf):
-    return textsmells.injections(table(spark, sf, "pages").select(F.col("page_id").alias("path"), F.col("html").alias("content")))
-
-
 @query("DET35_secrets")
 def det_secrets(spark, sf):
     return textsmells.secrets(files(spark, sf))
@@ -637,4 +627,4 @@ def stm_rolling(spark, sf):
     return rolling(table(spark, sf, "events"), "14 days", "event_type", "user_id")
 
 
-from tidemark.plans import more as _more  # noqa: E402,F401  registers the rest
+from tidemark.plans import detectors as _detectors, more as _more  # noqa: E402,F401  registers the rest
