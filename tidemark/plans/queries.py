@@ -564,11 +564,22 @@ def det_secrets(spark, sf):
     return textsmells.secrets(files(spark, sf))
 
 
-@query("SCO01_score")
+# Each detector's rule in RE2's terms, which has no look-around: a number is the head of a run of word signs and points.
+_SCORED = r"""l as (select doc_id path, unnest(string_split(text, chr(10))) x from documents), t as (select path, x, trim(x, ' ') t from l),
+k as (select *, t = '' or starts_with(t, '//') or starts_with(t, '#') or starts_with(t, '*') or starts_with(t, 'import ') or starts_with(t, 'using ') or starts_with(t, 'package ') or starts_with(t, 'require(') or starts_with(t, 'from ')
+or regexp_matches(t, '^[A-Z_][A-Z0-9_]*(?:\s*:\s*[\w<>\[\]|,\s]+)?\s*=($|[^=])') or regexp_matches(t, '\b(?:final|const)\b[^=\n]*\b[A-Z_][A-Z0-9_]+\b[^=\n]*=($|[^=])') skipped,
+regexp_extract(x, '\b[\w.-]*(?:token|secret|passw(?:or)?d|api_?key)[\w.-]*\s*[:=]\s*["'']([^"''\s]{16,})["'']', 1, 'i') v from t),
+h as (select *, list_sum([-(len([d for d in string_split(v, '') if d = c]) / length(v)) * log2(len([d for d in string_split(v, '') if d = c]) / length(v)) for c in list_distinct(string_split(v, ''))]) entropy from k),
+c as (select path, count(*) filter (regexp_matches(x, '(?:(?:^|\s)\*|//|#|--|;)\s*(TODO|FIXME|HACK|XXX|BUG|KLUDGE)\b(.{0,80})', 'i')) satd,
+coalesce(sum(case when skipped then 0 else len([w for w in regexp_extract_all(t, '[\w.]+') if regexp_full_match(w, '([2-9]|[1-9]\d+)(\.([^\d].*)?)?')]) end), 0) numbers, (count(*) > 20)::int large, count(*) filter (v <> '' and entropy >= 3) secrets from h group by 1)"""
+
+
+@query("SCO01_score", f"""with {_SCORED}, s as (select doc_id path, coalesce(satd + numbers + large + secrets, 0) smells, 10 - {scoring.WEIGHTS['SATD']}::double * sqrt(coalesce(satd, 0)) - {scoring.WEIGHTS['MagicNumber']}::double * sqrt(coalesce(numbers, 0)) - {scoring.WEIGHTS['LargeFile']}::double * sqrt(coalesce(large, 0)) - {scoring.WEIGHTS['HardcodedCredential']}::double * sqrt(coalesce(secrets, 0)) raw from documents left join c on path = doc_id)
+select path, cast(smells as bigint) smells, floor(raw * 1e6 + 0.5) / 1e6 raw, greatest(0, floor(raw * 10 + 0.5) / 10) score, case when greatest(0, floor(raw * 10 + 0.5) / 10) >= 9 then 'green' when greatest(0, floor(raw * 10 + 0.5) / 10) >= 4 then 'yellow' else 'red' end category from s""")
 def sco_score(spark, sf):
     f = files(spark, sf)
     found = textsmells.union([textsmells.satd(f), textsmells.magic_numbers(f), textsmells.large_files(f, most=20), textsmells.secrets(f)])
-    return scoring.score(f, found)
+    return scoring.score(f, found).withColumn("raw", r6("raw"))
 
 
 @query("STR05_tokens", "select doc_id, cast(ceil(length(text) / 4.0) as bigint) tokens from documents")
