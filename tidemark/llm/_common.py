@@ -61,7 +61,8 @@ def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
         yield from run(batches)
         released()
 
-    return df.mapInArrow(ending, schema)
+    # mapInArrow takes its input's columns by name, and a name with a dot for a field; run takes callers' columns by place.
+    return df.toDF(*(f"column {i}" if "." in x or "`" in x else x for i, x in enumerate(df.columns))).mapInArrow(ending, schema)
 
 
 def scratch_dir(spark: SparkSession) -> str:

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm._common import bounded, mapped
 from tidemark.llm.bpe import WHITE_SPACE, slices
@@ -173,5 +174,6 @@ def identify(df: DataFrame, model: Model, text: str = "text", names: tuple[str,
                 yield pa.RecordBatch.from_arrays([*some.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(rejected, pa.bool_())], [*kept, *names])
 
     plain = df.select(*(f"`{x}`" for x in kept))
-    schema = plain.withColumns({names[0]: F.lit(""), names[1]: F.lit(0.0), names[2]: F.lit(False)}).schema
+    kinds = (T.StringType(), T.DoubleType(), T.BooleanType())
+    schema = T.StructType([*(df.schema[x] for x in kept), *(T.StructField(x, k) for x, k in zip(names, kinds, strict=True))])
     return mapped(plain, run, schema)

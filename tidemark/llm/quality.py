@@ -23,6 +23,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm._common import bounded, mapped
 from tidemark.llm.bpe import slices
@@ -196,7 +197,7 @@ def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -
                 x = np.array([statistics(t) for t in some.column(at).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*some.columns, pa.array(model.score(x))], [*kept, out])
 
-    schema = df.select(*(f"`{x}`" for x in kept)).withColumn(out, F.lit(0.0)).schema
+    schema = T.StructType([*(df.schema[x] for x in kept), T.StructField(out, T.DoubleType())])
     return mapped(df.select(*(f"`{x}`" for x in kept)), run, schema)
 
 
