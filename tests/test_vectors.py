@@ -305,3 +305,18 @@ def test_clones_cover_whole_texts(spark):
     assert clones.shared_windows(w).count() == 3 and clones.cross_file_pairs(w).count() == 6
     assert (2101, 2116, 8) in {(r.a_start, r.b_start, r.lines) for r in clones.regions(w).collect()}
     assert [(r.a_start, r.b_start, r.lines) for r in clones.duplicate_code(files).where("kind = 'exact'").collect()] == [(2101, 2116, 8)]
+
+
+def test_similar_by_rare_grams_equals_all_pairs(spark):
+    import random
+
+    rnd = random.Random(3)
+    sets = []
+    for g in range(12):
+        base = rnd.sample(range(60), rnd.randrange(1, 30))
+        for _ in range(4):
+            sets.append({x for x in base if rnd.random() > 0.15} | set(rnd.sample(range(200), rnd.randrange(0, 4))))
+    df = spark.createDataFrame([(i, x) for i, s in enumerate(sets) for x in s], "path int, gram int")
+    for least in (0.5, 0.7, 0.9):
+        want = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if sets[a] | sets[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= least}
+        assert {(r.a, r.b) for r in clones.similar(df, least).collect()} == want and want

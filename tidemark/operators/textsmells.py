@@ -68,11 +68,25 @@ def _hit(line: Column, severity: str | Column) -> Column:
     return F.struct(line.alias("line"), (F.lit(severity) if isinstance(severity, str) else severity).alias("severity"))
 
 
+def line_hits(pattern: str, severity, content: str = "content") -> Column:
+    """A hit for each line that matches; severity is a name or a function of the line."""
+    of = severity if callable(severity) else lambda x: F.lit(severity)
+    tagged = F.transform(_lines(content), lambda x, i: _hit(i + 1, F.when(x.rlike(pattern), of(x))))
+    return F.filter(tagged, lambda h: h["severity"].isNotNull())
+
+
 def by_line(files: DataFrame, kind: str, pattern: str, severity, path: str = "path", content: str = "content") -> DataFrame:
     """One finding for each line that matches; severity is a name or a function of the line."""
-    of = severity if callable(severity) else lambda x: F.lit(severity)
-    tagged = F.transform(_lines(content), lambda x, i: F.struct((i + 1).alias("line"), F.when(x.rlike(pattern), of(x)).alias("severity")))
-    return _found(files.where(F.col(content).rlike("(?m)" + pattern)), kind, F.filter(tagged, lambda h: h["severity"].isNotNull()), path)
+    return _found(files.where(F.col(content).rlike("(?m)" + pattern)), kind, line_hits(pattern, severity, content), path)
+
+
+def in_one_scan(files: DataFrame, hits: dict[str, Column], path: str = "path") -> DataFrame:
+    """The findings of several detectors, given as arrays of hits by type, from one pass over the files."""
+    none = F.array().cast("array<struct<type:string,line:int,severity:string>>")
+    named = lambda kind, found: F.transform(found, lambda h: F.struct(F.lit(kind).alias("type"), h["line"].cast("int").alias("line"), h["severity"].alias("severity")))
+    every = F.concat(*(F.coalesce(named(kind, found), none) for kind, found in hits.items()))
+    rows = files.select(F.col(path).alias("path"), F.explode(every).alias("h"))
+    return rows.select("path", "h.type", "h.severity", F.lit(None).cast("string").alias("function_name"), "h.line", F.lit(None).cast("double").alias("metric_value"))
 
 
 def by_match(files: DataFrame, kind: str, pattern: str, severity: str, path: str = "path", content: str = "content", near: str | None = None, reach: int = 3) -> DataFrame:
@@ -114,11 +128,14 @@ def ai_satd(files: DataFrame, path: str = "path", content: str = "content") -> D
     return _found(files.where(F.col(content).rlike(AI_DEBT) & F.col(content).rlike(AI_TERM)), "AiAttributedSATD", F.filter(tagged, lambda h: h["severity"].isNotNull()), path)
 
 
-def magic_numbers(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
-    """One finding for each number but 0, 1 and -1, outside constants, comments, imports and data files."""
+def _holds_code(path: str) -> Column:
     fine = F.lit(True)
     for end in SKIPPED_ENDS:
         fine = fine & ~F.col(path).cast("string").endswith(end)
+    return fine
+
+
+def magic_hits(content: str = "content") -> Column:
     trimmed = F.transform(_lines(content), F.trim)
 
     def counted(x: Column) -> Column:
@@ -127,8 +144,12 @@ def magic_numbers(files: DataFrame, path: str = "path", content: str = "content"
             skip = skip | x.startswith(start)
         return F.when(skip, 0).otherwise(F.regexp_count(x, F.lit(MAGIC)))
 
-    hits = F.flatten(F.transform(trimmed, lambda x, i: F.array_repeat(_hit(i + 1, "low"), counted(x))))
-    return _found(files.where(fine), "MagicNumber", hits, path)
+    return F.flatten(F.transform(trimmed, lambda x, i: F.array_repeat(_hit(i + 1, "low"), counted(x))))
+
+
+def magic_numbers(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """One finding for each number but 0, 1 and -1, outside constants, comments, imports and data files."""
+    return _found(files.where(_holds_code(path)), "MagicNumber", magic_hits(content), path)
 
 
 def large_files(files: DataFrame, path: str = "path", content: str = "content", most: int = 500) -> DataFrame:
@@ -159,18 +180,31 @@ def injections(files: DataFrame, path: str = "path", content: str = "content") -
     return union([by_match(files, kind, pattern, severity, path, content) for kind, severity, pattern in INJECTIONS])
 
 
-def secrets(files: DataFrame, path: str = "path", content: str = "content", least: float = 3.0) -> DataFrame:
-    """Values of 16 signs or more given to a name that sounds secret, with an entropy per sign of at least least. Own design."""
-    pattern = r"(?i)\b[\w.-]*(?:token|secret|passw(?:or)?d|api_?key)[\w.-]*\s*[:=]\s*[\"']([^\"'\s]{16,})[\"']"
-    value = lambda x: F.regexp_extract(x, pattern, 1)
+SECRET = r"(?i)\b[\w.-]*(?:token|secret|passw(?:or)?d|api_?key)[\w.-]*\s*[:=]\s*[\"']([^\"'\s]{16,})[\"']"
+
+
+def secret_hits(content: str = "content", least: float = 3.0) -> Column:
+    value = lambda x: F.regexp_extract(x, SECRET, 1)
 
     def entropy(v: Column) -> Column:
         signs = F.split(v, "")
         share = lambda c: F.size(F.filter(signs, lambda x: x == c)) / F.length(v)
         return F.aggregate(F.array_distinct(F.filter(signs, lambda x: x != "")), F.lit(0.0), lambda a, c: a - share(c) * F.log2(share(c)))
 
-    tagged = F.transform(_lines(content), lambda x, i: F.struct((i + 1).alias("line"), F.when((value(x) != "") & (entropy(value(x)) >= least), F.lit("critical")).alias("severity")))
-    return _found(files.where(F.col(content).rlike(pattern)), "HardcodedCredential", F.filter(tagged, lambda h: h["severity"].isNotNull()), path)
+    tagged = F.transform(_lines(content), lambda x, i: _hit(i + 1, F.when((value(x) != "") & (entropy(value(x)) >= least), F.lit("critical"))))
+    # Most texts have none, and a text without one has no line with one.
+    return F.when(F.col(content).rlike(SECRET), F.filter(tagged, lambda h: h["severity"].isNotNull()))
+
+
+def secrets(files: DataFrame, path: str = "path", content: str = "content", least: float = 3.0) -> DataFrame:
+    """Values of 16 signs or more given to a name that sounds secret, with an entropy per sign of at least least. Own design."""
+    return _found(files.where(F.col(content).rlike(SECRET)), "HardcodedCredential", secret_hits(content, least), path)
+
+
+def text_findings(files: DataFrame, path: str = "path", content: str = "content", most: int = 500) -> DataFrame:
+    """Debt notes, magic numbers, large files and secrets, from one pass."""
+    large = F.when(F.size(_lines(content)) > most, F.array(_hit(F.lit(1), "medium")))
+    return in_one_scan(files, {"SATD": F.when(F.col(content).rlike("(?m)" + SATD_LINE), line_hits(SATD_LINE, "low", content)), "MagicNumber": F.when(_holds_code(path), magic_hits(content)), "LargeFile": large, "HardcodedCredential": secret_hits(content)}, path)
 
 
 def union(parts: list[DataFrame]) -> DataFrame:

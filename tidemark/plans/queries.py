@@ -578,8 +578,7 @@ coalesce(sum(case when skipped then 0 else len([w for w in regexp_extract_all(t,
 select path, cast(smells as bigint) smells, floor(raw * 1e6 + 0.5) / 1e6 raw, greatest(0, floor(raw * 10 + 0.5) / 10) score, case when greatest(0, floor(raw * 10 + 0.5) / 10) >= 9 then 'green' when greatest(0, floor(raw * 10 + 0.5) / 10) >= 4 then 'yellow' else 'red' end category from s""")
 def sco_score(spark, sf):
     f = files(spark, sf)
-    found = textsmells.union([textsmells.satd(f), textsmells.magic_numbers(f), textsmells.large_files(f, most=20), textsmells.secrets(f)])
-    return scoring.score(f, found).withColumn("raw", r6("raw"))
+    return scoring.score(f, textsmells.text_findings(f, most=20)).withColumn("raw", r6("raw"))
 
 
 @query("STR05_tokens", "select doc_id, cast(ceil(length(text) / 4.0) as bigint) tokens from documents")
