@@ -95,7 +95,20 @@ def scan(best: Best, queries: np.ndarray, query_ids: np.ndarray, ids: np.ndarray
     error = (sigmas * np.sqrt(np.maximum(0.0, 1 - corr**2)) / corr / np.sqrt(max(1, dim - 1))).astype(np.float32)
     estimate[query_ids[:, None] == ids[None, :]] = -np.inf
 
-    def compare(q: np.ndarray, v: np.ndarray) -> None:
+    # Single precision first, whose error for unit vectors is below slack; what may be among the k best is exact then.
+    q32, x32 = (queries / qn[:, None]).astype(np.float32), (x / xn[:, None]).astype(np.float32)
+    slack = 1e-5 + 2e-7 * dim
+
+    def compare(some: np.ndarray) -> None:
+        left, right = [], []
+        for i in np.flatnonzero(some.any(axis=1)):
+            rows = np.flatnonzero(some[i])
+            rows = rows[x32[rows] @ q32[i] >= best.least[i] - slack]
+            left.append(np.full(len(rows), i))
+            right.append(rows)
+        if not left:
+            return
+        q, v = np.concatenate(left), np.concatenate(right)
         for at in range(0, len(q), 200_000):
             a, b = q[at : at + 200_000], v[at : at + 200_000]
             best.add(a, ids[b], dots(queries[a], x[b]) / (qn[a] * xn[b]))
@@ -104,10 +117,23 @@ def scan(best: Best, queries: np.ndarray, query_ids: np.ndarray, ids: np.ndarray
     top = np.argpartition(-estimate, few - 1, axis=1)[:, :few]
     done = np.zeros(estimate.shape, bool)
     np.put_along_axis(done, top, True, axis=1)
-    done &= estimate > -np.inf
-    compare(*np.nonzero(done))
-    reach = (estimate + error >= best.least[:, None].astype(np.float32) - 1e-5) & ~done & (estimate > -np.inf)
-    compare(*np.nonzero(reach))
+    # The most promising first, as they raise what the others must reach; none that can't be among the k best.
+    hopeful = lambda: (estimate + error >= best.least[:, None].astype(np.float32) - 1e-5) & (estimate > -np.inf)
+    done &= hopeful()
+    compare(done)
+    compare(hopeful() & ~done)
+
+
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches of so many rows at least, but for the last: what a small batch compares in full doesn't pay."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= rows:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
 
 
 def search(df: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vec: str = "embedding", sigmas: float = 3.0, block: int = QUERY_BLOCK) -> DataFrame:
@@ -127,7 +153,7 @@ def search(df: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vec
 
         def run(batches: Iterator[pa.RecordBatch], by_dim=by_dim) -> Iterator[pa.RecordBatch]:
             best: dict[tuple[int, int], Best] = {}
-            for rows in batches:
+            for rows in gathered(batches, CHUNK):
                 dims = rows.column(2).to_numpy()
                 for dim in set(dims.tolist()) & set(by_dim):
                     own = rows.take(pa.array(np.flatnonzero(dims == dim)))
