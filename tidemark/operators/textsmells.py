@@ -58,9 +58,14 @@ def _lines(content: str) -> Column:
     return F.split(content, "\n", -1)
 
 
+def _exploded(files: DataFrame, hits: Column, path: str) -> DataFrame:
+    """A row for each hit. A plain explode would be given a filter on the size of hits, which evaluates them twice."""
+    return files.select(F.col(path).alias("path"), F.explode_outer(hits).alias("h")).where("h is not null")
+
+
 def _found(files: DataFrame, kind: str, hits: Column, path: str) -> DataFrame:
     """hits: array of struct(line, severity)."""
-    rows = files.select(F.col(path).alias("path"), F.explode(hits).alias("h"))
+    rows = _exploded(files, hits, path)
     return rows.select("path", F.lit(kind).alias("type"), F.col("h.severity").alias("severity"), F.lit(None).cast("string").alias("function_name"), F.col("h.line").cast("int").alias("line"), F.lit(None).cast("double").alias("metric_value"))
 
 
@@ -85,7 +90,7 @@ def in_one_scan(files: DataFrame, hits: dict[str, Column], path: str = "path") -
     none = F.array().cast("array<struct<type:string,line:int,severity:string>>")
     named = lambda kind, found: F.transform(found, lambda h: F.struct(F.lit(kind).alias("type"), h["line"].cast("int").alias("line"), h["severity"].alias("severity")))
     every = F.concat(*(F.coalesce(named(kind, found), none) for kind, found in hits.items()))
-    rows = files.select(F.col(path).alias("path"), F.explode(every).alias("h"))
+    rows = _exploded(files, every, path)
     return rows.select("path", "h.type", "h.severity", F.lit(None).cast("string").alias("function_name"), "h.line", F.lit(None).cast("double").alias("metric_value"))
 
 
