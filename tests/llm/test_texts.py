@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -163,6 +164,40 @@ def test_large_star_is_found(spark, monkeypatch):
     assert sum(c == 0 for c in got) / len(got) >= 0.99
 
 
+def test_group_is_not_sent_once_for_each_near_class():
+    """Ten classes below the threshold to a group of 200: rows of the order of the group, and every pair in some cell."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 256, neardup.SIGNATURE, dtype=np.uint8)
+    sig = np.tile(base, (210, 1))
+    for i in range(10):
+        at = rng.permutation(neardup.SIGNATURE)[:28]
+        sig[i, at] = base[at] + 1 + i
+    k, comp = np.arange(210), np.concatenate([np.arange(10), np.full(200, 10)])
+    columns = [pa.array(np.zeros(210, np.int64)), pa.array(k), pa.array(np.full(210, 50)), pa.array([x.tobytes() for x in sig], pa.binary()), pa.array(comp)]
+    found = pa.Table.from_batches(neardup._cells(0.85)(iter([pa.RecordBatch.from_arrays(columns, ["node", "k", "n", "sig", "comp"])])))
+    met, cells = set(), {}
+    for c, x, m in zip(*(found.column(n).to_pylist() for n in ("cell", "k", "minor")), strict=True):
+        cells.setdefault(c, []).append((x, m))
+    for rows in cells.values():
+        met |= {(a, b) for a, minor in rows if minor for b, _ in rows}
+    assert met >= {(a, b) for a in range(10) for b in range(10, 210)}
+    assert found.num_rows <= 2 * 210
+    assert max(map(len, cells.values())) <= 2 * neardup.SIDE
+
+
+def test_sets_of_many_cells_go_in_small_batches(monkeypatch):
+    monkeypatch.setattr(neardup, "BATCH_BYTES", 10_000)
+    text = " ".join(f"w{i}" for i in range(102))
+    s = neardup.Shingler(3).set_of(text)
+    one, two = neardup._identity(s)
+    cells = [{"cell": c, "minor": c % 2 == 0} for c in range(500)]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("cell", pa.int64()), ("minor", pa.bool_())]))]
+    rows = [[text, "other"], [7, 8], [one, one], [two, two], [3, 3], [cells, cells]]
+    got = list(neardup._spread(3)(iter([pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, kinds, strict=True)], ["x", "k", "f1", "f2", "comp", "cells"])])))
+    assert max(b.nbytes for b in got) < 3 * 10_000
+    assert pa.Table.from_batches(got).to_pylist() == [{"cell": c, "k": 7, "hashes": s.tobytes(), "comp": 3, "minor": c % 2 == 0} for c in range(500)]
+
+
 def test_near_duplicates_of_odd_rows(spark):
     df = spark.createDataFrame([(None, "a b c d"), (3, "a b c d"), (3, "a b c d"), (9, "A b c d")], "doc_id long, text string")
     got = sorted(map(tuple, neardup.near_duplicates(df, 3, 85).collect()), key=str)

@@ -11,7 +11,8 @@ The comparison takes two passes, so that what is sent grows with the members of
 1. In each node the signatures estimate all similarities; the node gives the maximum spanning forest of the pairs whose
    estimate may reach the threshold. Those pairs are confirmed on the full sets of shingles; links make components.
 2. In each node of the first AGAIN trees, classes that may still link with another component (the smaller ones, and
-   what they may link with) go to a cell with their full sets, where each of the smaller ones is compared with all.
+   what they may link with) go to cells with their full sets, where each of the smaller ones is compared with all.
+   Smaller ones that may link with the same class share cells, so a large group is not sent once for each of them.
 
 A node too large for one task is dealt into blocks that share HUBS of its classes in pass 1, so a group of near copies
 becomes one component there. In pass 2 it ends, dealt into blocks, once its smaller components fit in one block (or
@@ -38,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import dropped, mapped, small, stored
+from tidemark.llm._common import BATCH_BYTES, dropped, mapped, small, stored
 from tidemark.llm.bpe import slices
 from tidemark.llm.components import components
 
@@ -47,8 +48,8 @@ SIGNATURE, TREES, AGAIN, HUBS = 128, 10, 4, 64
 NODE = 4096
 #: Branchings after which a large node ends in any case.
 LEVELS = 40
-#: Shingles of each side of a cell, of 8 bytes each.
-CELL = 1 << 20
+#: Shingles, of 8 bytes each, and classes of each side of a cell.
+CELL, SIDE = 1 << 20, 64
 #: Expected share of the pairs at the threshold, sharing only large nodes, that meet in a small node at last.
 RECALL = 0.99
 #: Bounds on what a worker keeps of words' hashes.
@@ -258,13 +259,15 @@ def _cells(least: float):
     """Rows (node, k, n, sig, comp), sorted by node, to (cell, k, comp, minor): what is to be compared on full sets.
 
     The minor classes of a node are those outside its largest component. Those that may link with another component
-    are joined, over what they may link with, to clusters; a cluster gives a cell for each pair of a run of its minor
-    classes with a run of all its classes. Equal clusters of several trees give equal cells.
+    are joined, over what they may link with, to clusters, so that each class is in one cluster at most; a cluster
+    gives a cell for each pair of a run of its minor classes with a run of all its classes. Equal clusters of several
+    trees give equal cells.
     """
     floor = _floor(least)
 
     def split(n: np.ndarray) -> np.ndarray:
-        return (np.cumsum(n) - n) // CELL
+        new = (np.diff((np.cumsum(n) - n) // CELL) > 0) | (np.arange(1, len(n)) % SIDE == 0)
+        return np.concatenate([[0], np.cumsum(new)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _runs(batches, "node", 20_000):
@@ -277,20 +280,21 @@ def _cells(least: float):
                 values, of, counts = np.unique(c, return_inverse=True, return_counts=True)
                 minor = np.flatnonzero(of != counts.argmax())
                 near = (_agreeing(sig[s:e][minor], sig[s:e]) >= floor) & (c[minor][:, None] != c[None, :])
-                number = np.full(e - s, -1)
-                number[minor] = np.arange(len(minor))
+                is_minor = np.zeros(e - s, bool)
+                is_minor[minor] = True
                 todo = near.any(axis=1)
                 while todo.any():
-                    first = int(todo.argmax())
-                    inside, queue = near[first].copy(), [first]
-                    inside[minor[first]], todo[first] = True, False
-                    while queue:
-                        inside |= near[queue].any(axis=0)
-                        queue = [x for x in number[np.flatnonzero(inside)] if x >= 0 and todo[x]]
+                    inside, queue = np.zeros(e - s, bool), np.array([todo.argmax()])
+                    while len(queue):
                         todo[queue] = False
+                        new = near[queue].any(axis=0) & ~inside
+                        new[minor[queue]] = True
+                        inside |= new
+                        left = np.flatnonzero(todo)
+                        queue = left[near[np.ix_(left, np.flatnonzero(new))].any(axis=1)]
                     every = np.flatnonzero(inside)
                     every = every[np.argsort(k[s:e][every], kind="stable")]
-                    few = every[number[every] >= 0]
+                    few = every[is_minor[every]]
                     rows, columns = split(n[s:e][few]), split(n[s:e][every])
                     for x, y in itertools.product(np.unique(rows), np.unique(columns)):
                         left, right = few[rows == x], np.setdiff1d(every[columns == y], few[rows == x])
@@ -303,27 +307,43 @@ def _cells(least: float):
     return run
 
 
-def _sets(docs: DataFrame, need: DataFrame, size: int, key: str, text: str, cells: int) -> DataFrame:
-    """(cell, k, hashes) for need (id, k, f1, f2, cells): the full set of each class, made again from a text of it, once
-    for each of its cells."""
+def _spread(size: int):
+    """Rows (text, k, f1, f2, comp, cells) to (cell, k, hashes, comp, minor): the set of a text, once for each of its
+    cells (cell, minor). However many these are, a batch holds about BATCH_BYTES, or one set."""
+    names = ["cell", "k", "hashes", "comp", "minor"]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.bool_()]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Shingler(size)
+        make, rows, held = Shingler(size), [], 0
         for batch in batches:
             for some in slices(batch, 0):
-                cell, k, hashes = [], [], []
-                for x, one, f1, f2, at in zip(*(c.to_pylist() for c in some.columns), strict=True):
+                for x, k, f1, f2, comp, cells in zip(*(c.to_pylist() for c in some.columns), strict=True):
                     s = make.set_of(x)
-                    if _identity(s) == (f1, f2):
-                        cell += at
-                        k += [one] * len(at)
-                        hashes += [s.tobytes()] * len(at)
-                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(k, pa.int64()), pa.array(hashes, pa.binary())], ["cell", "k", "hashes"])
+                    if _identity(s) != (f1, f2):
+                        continue
+                    hashes = s.tobytes()
+                    for at in cells:
+                        rows.append((at["cell"], k, hashes, comp, at["minor"]))
+                        held += len(hashes)
+                        if held >= BATCH_BYTES:
+                            yield batch_of(rows)
+                            rows, held = [], 0
+        yield batch_of(rows)
 
+    return run
+
+
+def _sets(docs: DataFrame, need: DataFrame, size: int, key: str, text: str, cells: int) -> DataFrame:
+    """(cell, k, hashes, comp, minor) for need (id, k, f1, f2, comp, cells): the full set of each class, made again from
+    a text of it, once for each of its cells."""
     texts = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("x"))
-    # At most 48 bytes for a row and 8 for each of its cells.
-    side = F.broadcast(need) if cells * 56 <= 64 << 20 else need
-    return mapped(texts.join(side, "id").select("x", "k", "f1", "f2", "cells"), run, "cell bigint, k bigint, hashes binary")
+    # At most 72 bytes for a row and 32 for each of its cells.
+    side = F.broadcast(need) if cells * 104 <= 64 << 20 else need
+    rows = texts.join(side, "id").select("x", "k", "f1", "f2", "comp", "cells")
+    return mapped(rows, _spread(size), "cell bigint, k bigint, hashes binary, comp bigint, minor boolean")
 
 
 def _linked(percent: int):
@@ -398,9 +418,10 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
     side = max(1, math.ceil(math.sqrt(count * 2 * mean / CELL)))
     cell = F.xxhash64(F.pmod(F.xxhash64("a"), F.lit(side)), F.pmod(F.xxhash64("b", F.lit(1)), F.lit(side)))
     pairs = pairs.withColumn("cell", cell)
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("k"), "cell").groupBy("k").agg(F.collect_set("cell").alias("cells"))
-    need = stored(classes.select("id", "k", "f1", "f2").join(ends, "k").select("id", "k", "f1", "f2", "cells"), "need")
-    sets = _sets(docs, need, size, key, text, 2 * count).withColumn("a", F.lit(None).cast("bigint"))
+    at = F.struct("cell", F.lit(False).alias("minor"))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("k"), "cell").groupBy("k").agg(F.collect_set(at).alias("cells"))
+    need = stored(classes.select("id", "k", "f1", "f2").join(ends, "k").select("id", "k", "f1", "f2", F.lit(None).cast("bigint").alias("comp"), "cells"), "need")
+    sets = _sets(docs, need, size, key, text, 2 * count).select("cell", "k", "hashes", F.lit(None).cast("bigint").alias("a"))
     rows = sets.unionByName(pairs.select("cell", F.col("b").alias("k"), F.lit(None).cast("binary").alias("hashes"), "a"))
     return mapped(rows.repartition("cell").sortWithinPartitions("cell", F.col("a").asc_nulls_first(), "k"), _linked(percent), "a bigint, b bigint")
 
@@ -503,9 +524,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     cells = stored(mapped(dealt, _cells(least), "cell bigint, k bigint, comp bigint, minor boolean").distinct(), "cells")
     count = cells.count()
     if count:
-        ends = cells.groupBy("k").agg(F.collect_set("cell").alias("cells"))
-        need = stored(classes.select("id", "k", "f1", "f2").join(ends, "k").select("id", "k", "f1", "f2", "cells"), "need")
-        rows = _sets(docs, need, size, key, text, count).join(cells, ["cell", "k"]).select("cell", "k", "hashes", "comp", "minor")
+        # Component and role go with each set, so that the sets are sent once.
+        ends = cells.groupBy("k").agg(F.first("comp").alias("comp"), F.collect_set(F.struct("cell", "minor")).alias("cells"))
+        need = stored(classes.select("id", "k", "f1", "f2").join(ends, "k").select("id", "k", "f1", "f2", "comp", "cells"), "need")
+        rows = _sets(docs, need, size, key, text, count)
         more = mapped(rows.repartition("cell").sortWithinPartitions("cell"), _compared(percent), "a bigint, b bigint")
         more = stored(more, "linked")
         if not more.isEmpty():
