@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -86,6 +87,31 @@ def test_quality(spark):
     assert quality.score(docs.limit(0), none).count() == 0
 
 
+def test_quality_sums_do_not_grow_with_the_tasks(spark):
+    def of(batches):
+        yield pd.DataFrame([[np.ones(1).tobytes(), np.array([float(sum(b["id"].sum() for b in batches))]).tobytes()]], columns=["n", "total"])
+
+    n, total = quality._summed(spark.range(0, 1000, 1, 100), "n binary, total binary", of)
+    assert n[0] <= 16 and total[0] == 999 * 500
+
+
+def test_quality_features_are_made_a_block_at_a_time(monkeypatch):
+    rng = np.random.default_rng(1)
+    d, waves = len(quality.STATISTICS), 8
+    model = quality.Model(np.zeros(d), np.ones(d), rng.standard_normal((d, waves)), rng.uniform(0, 6, waves), rng.standard_normal(1 + d + waves), np.zeros(1), np.zeros(1))
+    x = rng.standard_normal((10_001, d))
+    want, sizes, made = model.features(x) @ model.weights, [], quality.Model.features
+    monkeypatch.setattr(quality.Model, "features", lambda self, x: sizes.append(len(x)) or made(self, x))
+    assert np.allclose(model.raw(x), want, rtol=0, atol=1e-12) and max(sizes) <= 2000 and sum(sizes) == len(x)
+
+
+def test_quality_where_all_labelled_rows_calibrate(spark):
+    docs = spark.createDataFrame([(i, f"Some text {i}.") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    model = quality.fit(docs, labels, "quality", fit_rows=0, calibration_rows=40)
+    assert {round(r.score, 6) for r in quality.score(docs, model).collect()} == {0.5}
+
+
 def test_language(spark):
     rows = made_texts()
     docs = spark.createDataFrame([(i, t, lang) for i, t, lang, _ in rows] + [(900, None, "en"), (901, "123 ...", "en"), (902, "", None), (903, "the house", None)], "doc_id long, text string, lang string")

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -136,6 +137,23 @@ def test_best_fit_and_bounds():
         assert packing.lower_bound(items, 10) <= least(items.tolist(), [])
 
 
+def test_pieces_encode_small_slices(monkeypatch):
+    texts = [*some_texts(), *("some words " * 20_000 for _ in range(30)), None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], ["doc_id", "text"])
+    whole, sizes = tokenize.ChunkTokenizer(BYTES), []
+
+    class Watched:
+        def encode_column(self, column, end):
+            sizes.append(sum(len((x or "").encode()) for x in column.to_pylist()))
+            return whole.encode_column(column, end)
+
+    monkeypatch.setattr(packing, "tokenizer", lambda path: Watched())
+    got = [r for b in packing._cut([batch], BYTES, 0, 64, "doc_id") for r in b.to_pylist()]
+    ids, ends = whole.encode_column(batch.column(1), [0])
+    assert b"".join(r["ids"] for r in got) == ids.tobytes() and sum(r["length"] for r in got) == ends[-1]
+    assert sum(sizes) == sum(len((x or "").encode()) for x in texts) and max(sizes) <= packing.SLICE_BYTES + 220_000 < 2_000_000
+
+
 def test_packing(spark):
     rnd = random.Random(5)
     rows = [(i, " ".join(rnd.choice(["the", "of", "and", "tion"]) for _ in range(rnd.randrange(1, 90)))) for i in range(300)] + [(400, None), (401, "a " * 200), (402, ""), (3, "twice")]

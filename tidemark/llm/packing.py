@@ -21,32 +21,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm._common import BATCH_BYTES, mapped, stored
+from tidemark.llm._common import mapped, stored
 from tidemark.llm.bpe import slices
 from tidemark.llm.tokenize import packed, tokenizer
 
 #: Items in a group, on average; groups that exchange items at a time.
 GROUP, FAN = 4096, 8
+#: Bytes of text whose ids are made at once; more take more memory and no less time.
+SLICE_BYTES = 1_500_000
+
+
+def _cut(batches: Iterator[pa.RecordBatch], tokenizer_path: str, end_id: int, capacity: int, key: str) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for some in slices(b, 1, SLICE_BYTES):
+            ids, ends = tokenizer(tokenizer_path).encode_column(some.column(1), [end_id])
+            n = np.diff(ends, prepend=0)
+            count = -(-n // capacity)
+            row = np.repeat(np.arange(len(n)), count)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            # All pieces but the first are full.
+            start = np.where(piece > 0, n[row] - (count[row] - piece) * capacity, 0)
+            length = np.where(piece > 0, capacity, n[row] - (count[row] - 1) * capacity)
+            yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), packed(ids, np.cumsum(length))], [key, "piece", "start", "length", "ids"])
 
 
 def pieces(df: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 2048, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, piece, start, length, ids): the documents' ids with end_id after them, cut to capacity; ids packed as u32."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for some in slices(b, 1, BATCH_BYTES):
-                ids, ends = tokenizer(tokenizer_path).encode_column(some.column(1), [end_id])
-                n = np.diff(ends, prepend=0)
-                count = -(-n // capacity)
-                row = np.repeat(np.arange(len(n)), count)
-                piece = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-                # All pieces but the first are full.
-                start = np.where(piece > 0, n[row] - (count[row] - piece) * capacity, 0)
-                length = np.where(piece > 0, capacity, n[row] - (count[row] - 1) * capacity)
-                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), packed(ids, np.cumsum(length))], [key, "piece", "start", "length", "ids"])
-
     kind = df.schema[key].dataType.simpleString()
-    return mapped(df.select(key, text), run, f"`{key}` {kind}, piece int, start bigint, length bigint, ids binary", "tokenizer")
+    return mapped(df.select(key, text), lambda batches: _cut(batches, tokenizer_path, end_id, capacity, key), f"`{key}` {kind}, piece int, start bigint, length bigint, ids binary", "tokenizer")
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:

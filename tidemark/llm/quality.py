@@ -1,8 +1,8 @@
 """Quality scores: ridge regression on random Fourier features of document statistics, calibrated by isotonic regression.
 
-The features approximate a Gaussian kernel over standardised statistics of the text alone. Each task sums its part of
-the normal equations; the sums are added in a second, smaller set of tasks, and the driver solves a system of fixed
-size. Calibration fits a monotone curve to other labelled rows and joins its steps by straight lines.
+The features approximate a Gaussian kernel over standardised statistics of the text alone. The sampled rows' statistics
+are dealt to a fixed number of tasks; each sums its part of the normal equations, and the driver adds the sums and
+solves a system of fixed size. Calibration fits a monotone curve to other labelled rows and joins its steps by straight lines.
 
 Fitting uses a bounded sample of labelled rows (fit_rows, calibration_rows), chosen by a hash of the id; scoring is
 map-only over all documents.
@@ -36,6 +36,8 @@ SYMBOLS = bytes(c for c in range(33, 127) if chr(c) not in ".,;:!?'\"()-" and no
 PUNCTUATION = b".,;:!?'\"()-"
 DIGITS, UPPER, LOWER, WHITE = b"0123456789", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b" \t\n\r\x0b\x0c"
 HAS_SYMBOL = re.compile("[" + re.escape(SYMBOLS.decode()) + "]")
+#: Rows whose features are held at once.
+BLOCK = 2000
 
 
 def statistics(text: str | None) -> list[float]:
@@ -83,7 +85,7 @@ class Model:
         return np.hstack([np.ones((len(x), 1)), z, f])
 
     def raw(self, x: np.ndarray) -> np.ndarray:
-        return self.features(x) @ self.weights
+        return np.concatenate([self.features(x[at : at + BLOCK]) @ self.weights for at in range(0, max(1, len(x)), BLOCK)])
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return np.clip(np.interp(self.raw(x), self.knots, self.values), 0.0, 1.0)
@@ -118,21 +120,11 @@ def _with_statistics(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     return mapped(df.select(*(f"`{x}`" for x in keep), text), run, f"{kinds}, stats array<double>")
 
 
-def _summed(df: DataFrame, schema: str, of, second: int = 16) -> pd.DataFrame:
-    """of(batches) gives one row of binary sums a task; those are added in at most second tasks, then here."""
-
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = None
-        for b in batches:
-            for x in b.itertuples(index=False):
-                parts = [np.frombuffer(v) for v in x]
-                total = parts if total is None else [p + q for p, q in zip(total, parts, strict=True)]
-        if total is not None:
-            yield pd.DataFrame([[p.tobytes() for p in total]], columns=df_names)
-
-    df_names = [x.split()[0] for x in schema.split(", ")]
-    parts = df.mapInPandas(of, schema).repartition(second).mapInPandas(add, schema).collect()
-    return [sum(np.frombuffer(r[i]) for r in parts) for i in range(len(df_names))] if parts else []
+def _summed(df: DataFrame, schema: str, of, tasks: int = 16) -> list[np.ndarray]:
+    """of(batches) gives one row of binary sums a task; df, of few and short rows, is dealt to tasks first, so that no more
+    sums than these exist, in however many tasks df is made. They are added here; empty without rows."""
+    parts = df.repartition(tasks).mapInPandas(of, schema).collect()
+    return [sum(np.frombuffer(r[i]) for r in parts) for i in range(len(schema.split(", ")))] if parts else []
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", text: str = "text", fit_rows: int = 30_000, calibration_rows: int = 10_000, waves: int = 384, width: float = 4.0, ridge: float = 1e-3, seed: int = 7) -> Model:
@@ -164,14 +156,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", tex
         def equations(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             a, b, n = np.zeros((size, size)), np.zeros(size), np.zeros(1)
             for t in batches:
-                t = t[~t["_calibrates"]]
-                for at in range(0, len(t), 2000):
-                    some = t.iloc[at : at + 2000]
+                for at in range(0, len(t), BLOCK):
+                    some = t.iloc[at : at + BLOCK]
                     f = model.features(np.stack(some["stats"].to_numpy()))
-                    a, b, n = a + f.T @ f, b + f.T @ some["_y"].to_numpy(), n + len(some)
+                    a += f.T @ f
+                    b += f.T @ some["_y"].to_numpy()
+                    n += len(some)
             yield pd.DataFrame([[a.tobytes(), b.tobytes(), n.tobytes()]], columns=["a", "b", "n"])
 
-        sums = _summed(rows, "a binary, b binary, n binary", equations)
+        learned = rows.where(~F.col("_calibrates")).select("_y", "stats")
+        sums = _summed(learned, "a binary, b binary, n binary", equations) or [np.zeros(size * size), np.zeros(size), np.zeros(1)]
         a, b, n = sums[0].reshape(size, size), sums[1], max(1.0, float(sums[2][0]))
         penalty = ridge * n * np.eye(size) / size
         penalty[0, 0] = 1e-9 * n
