@@ -320,3 +320,10 @@ def test_similar_by_rare_grams_equals_all_pairs(spark):
     for least in (0.5, 0.7, 0.9):
         want = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if sets[a] | sets[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= least}
         assert {(r.a, r.b) for r in clones.similar(df, least).collect()} == want and want
+
+
+def test_numbers_and_words_beside_letters_beyond_ascii(spark):
+    f = texts(spark, ("python", "2İ2 = é25\nx\n2\n  import 7"), ("python", "# TODOé"), ("python", "étoken = 'aB3dE6gH9jK2mN5p'"))
+    assert sorted((r.path, r.line) for r in textsmells.magic_numbers(f).collect()) == [("f0", 1), ("f0", 1), ("f0", 1), ("f0", 3)]
+    assert [(r.path, r.line) for r in textsmells.satd(f).collect()] == [("f1", 1)]
+    assert [(r.path, r.line) for r in textsmells.secrets(f).collect()] == [("f2", 1)]

@@ -9,6 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Java counts any letter as part of a word at \b, though not for \w; the patterns, as JavaScript and RE2, mean ASCII.
+WORD_EDGE = r"(?:(?<!\w)(?=\w)|(?<=\w)(?!\w))"
+
+
+def ascii_words(pattern: str) -> str:
+    return pattern.replace(r"\b", WORD_EDGE)
+
+
 # The patterns below decide what is found.
 SATD_LINE = r"(?i)(?:(?:^|\s)\*|//|#|--|;)\s*(TODO|FIXME|HACK|XXX|BUG|KLUDGE)\b(.{0,80})"
 SATD_TIERS = [(r"(?i)\b(HACK|XXX|BUG)\b", "critical"), (r"(?i)\b(FIXME|BROKEN)\b", "high"), (r"(?i)\b(TODO|TEMP|WORKAROUND|KLUDGE)\b", "medium"), (r"(?i)\b(REFACTOR)\b", "low")]
@@ -76,13 +84,14 @@ def _hit(line: Column, severity: str | Column) -> Column:
 def line_hits(pattern: str, severity, content: str = "content") -> Column:
     """A hit for each line that matches; severity is a name or a function of the line."""
     of = severity if callable(severity) else lambda x: F.lit(severity)
+    pattern = ascii_words(pattern)
     tagged = F.transform(_lines(content), lambda x, i: _hit(i + 1, F.when(x.rlike(pattern), of(x))))
     return F.filter(tagged, lambda h: h["severity"].isNotNull())
 
 
 def by_line(files: DataFrame, kind: str, pattern: str, severity, path: str = "path", content: str = "content") -> DataFrame:
     """One finding for each line that matches; severity is a name or a function of the line."""
-    return _found(files.where(F.col(content).rlike("(?m)" + pattern)), kind, line_hits(pattern, severity, content), path)
+    return _found(files.where(F.col(content).rlike("(?m)" + ascii_words(pattern))), kind, line_hits(pattern, severity, content), path)
 
 
 def in_one_scan(files: DataFrame, hits: dict[str, Column], path: str = "path") -> DataFrame:
@@ -99,6 +108,7 @@ def by_match(files: DataFrame, kind: str, pattern: str, severity: str, path: str
 
     The text is cut at the matches; a match's line is one more than the line breaks before it.
     """
+    pattern, near = ascii_words(pattern), near and ascii_words(near)
     parts = F.split(content, pattern, -1)
     texts = F.regexp_extract_all(content, F.lit(pattern), F.lit(0))
     breaks = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
@@ -122,15 +132,15 @@ def satd_tiers(comments: DataFrame, path: str = "path", content: str = "content"
     """Severity of comments by the first tier that matches."""
     tier = F.lit(None).cast("string")
     for pattern, severity in reversed(SATD_TIERS):
-        tier = F.when(F.col(content).rlike(pattern), severity).otherwise(tier)
+        tier = F.when(F.col(content).rlike(ascii_words(pattern)), severity).otherwise(tier)
     return comments.withColumn("severity", tier).where("severity is not null")
 
 
 def ai_satd(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
     """Comment lines with both an assistant's name and a debt mark; medium if they show doubt."""
-    both = lambda x: x.rlike(AI_TERM) & x.rlike(AI_DEBT) & x.rlike(COMMENT_LINE)
-    tagged = F.transform(_lines(content), lambda x, i: F.struct((i + 1).alias("line"), F.when(both(x), F.when(x.rlike(AI_DOUBT), "medium").otherwise("low")).alias("severity")))
-    return _found(files.where(F.col(content).rlike(AI_DEBT) & F.col(content).rlike(AI_TERM)), "AiAttributedSATD", F.filter(tagged, lambda h: h["severity"].isNotNull()), path)
+    both = lambda x: x.rlike(ascii_words(AI_TERM)) & x.rlike(ascii_words(AI_DEBT)) & x.rlike(COMMENT_LINE)
+    tagged = F.transform(_lines(content), lambda x, i: F.struct((i + 1).alias("line"), F.when(both(x), F.when(x.rlike(ascii_words(AI_DOUBT)), "medium").otherwise("low")).alias("severity")))
+    return _found(files.where(F.col(content).rlike(ascii_words(AI_DEBT)) & F.col(content).rlike(ascii_words(AI_TERM))), "AiAttributedSATD", F.filter(tagged, lambda h: h["severity"].isNotNull()), path)
 
 
 def _holds_code(path: str) -> Column:
@@ -141,13 +151,13 @@ def _holds_code(path: str) -> Column:
 
 
 def magic_hits(content: str = "content") -> Column:
-    trimmed = F.transform(_lines(content), F.trim)
+    trimmed = F.transform(_lines(content), lambda x: F.trim(x))  # F.trim itself would take the index as what to trim
 
     def counted(x: Column) -> Column:
-        skip = (x == "") | x.startswith("//") | x.startswith("#") | x.startswith("*") | x.rlike(CONSTANT_LINE) | x.rlike(TYPED_CONSTANT)
+        skip = (x == "") | x.startswith("//") | x.startswith("#") | x.startswith("*") | x.rlike(CONSTANT_LINE) | x.rlike(ascii_words(TYPED_CONSTANT))
         for start in SKIPPED_STARTS:
             skip = skip | x.startswith(start)
-        return F.when(skip, 0).otherwise(F.regexp_count(x, F.lit(MAGIC)))
+        return F.when(skip, 0).otherwise(F.regexp_count(x, F.lit(ascii_words(MAGIC))))
 
     return F.flatten(F.transform(trimmed, lambda x, i: F.array_repeat(_hit(i + 1, "low"), counted(x))))
 
@@ -189,7 +199,7 @@ SECRET = r"(?i)\b[\w.-]*(?:token|secret|passw(?:or)?d|api_?key)[\w.-]*\s*[:=]\s*
 
 
 def secret_hits(content: str = "content", least: float = 3.0) -> Column:
-    value = lambda x: F.regexp_extract(x, SECRET, 1)
+    value = lambda x: F.regexp_extract(x, ascii_words(SECRET), 1)
 
     def entropy(v: Column) -> Column:
         signs = F.split(v, "")
@@ -198,18 +208,18 @@ def secret_hits(content: str = "content", least: float = 3.0) -> Column:
 
     tagged = F.transform(_lines(content), lambda x, i: _hit(i + 1, F.when((value(x) != "") & (entropy(value(x)) >= least), F.lit("critical"))))
     # Most texts have none, and a text without one has no line with one.
-    return F.when(F.col(content).rlike(SECRET), F.filter(tagged, lambda h: h["severity"].isNotNull()))
+    return F.when(F.col(content).rlike(ascii_words(SECRET)), F.filter(tagged, lambda h: h["severity"].isNotNull()))
 
 
 def secrets(files: DataFrame, path: str = "path", content: str = "content", least: float = 3.0) -> DataFrame:
     """Values of 16 signs or more given to a name that sounds secret, with an entropy per sign of at least least. Own design."""
-    return _found(files.where(F.col(content).rlike(SECRET)), "HardcodedCredential", secret_hits(content, least), path)
+    return _found(files.where(F.col(content).rlike(ascii_words(SECRET))), "HardcodedCredential", secret_hits(content, least), path)
 
 
 def text_findings(files: DataFrame, path: str = "path", content: str = "content", most: int = 500) -> DataFrame:
     """Debt notes, magic numbers, large files and secrets, from one pass."""
     large = F.when(F.size(_lines(content)) > most, F.array(_hit(F.lit(1), "medium")))
-    return in_one_scan(files, {"SATD": F.when(F.col(content).rlike("(?m)" + SATD_LINE), line_hits(SATD_LINE, "low", content)), "MagicNumber": F.when(_holds_code(path), magic_hits(content)), "LargeFile": large, "HardcodedCredential": secret_hits(content)}, path)
+    return in_one_scan(files, {"SATD": F.when(F.col(content).rlike("(?m)" + ascii_words(SATD_LINE)), line_hits(SATD_LINE, "low", content)), "MagicNumber": F.when(_holds_code(path), magic_hits(content)), "LargeFile": large, "HardcodedCredential": secret_hits(content)}, path)
 
 
 def union(parts: list[DataFrame]) -> DataFrame:
