@@ -327,3 +327,32 @@ def test_numbers_and_words_beside_letters_beyond_ascii(spark):
     assert sorted((r.path, r.line) for r in textsmells.magic_numbers(f).collect()) == [("f0", 1), ("f0", 1), ("f0", 1), ("f0", 3)]
     assert [(r.path, r.line) for r in textsmells.satd(f).collect()] == [("f1", 1)]
     assert [(r.path, r.line) for r in textsmells.secrets(f).collect()] == [("f2", 1)]
+
+
+def test_pairs_and_thirds_over_many_tasks_equal_brute_force(spark, monkeypatch):
+    import itertools
+    import random
+
+    monkeypatch.setattr(coupling, "TASK_ROWS", 40, raising=False)
+    rng = random.Random(3)
+    rows = [(g, rng.randrange(12), rng.choice([None, 0, 1, 2, 3])) for g in range(100) for _ in range(rng.randrange(1, 6))]
+    df = spark.createDataFrame([*rows, *rows[:50], (None, 1, 0), (None, 2, 0), (7, None, 0)], "sha int, path int, at int")
+    sets, at = {}, {}
+    for g, x, t in rows:
+        sets.setdefault(g, set()).add(x)
+        at[g] = min((v for v in (at.get(g), t, 0 if g == 7 else None) if v is not None), default=None)
+    count = lambda gs: __import__("collections").Counter(p for g in gs for p in itertools.combinations(sorted(sets[g]), 2))
+    got = coupling.together(df, "sha", "path")
+    assert {(r.a, r.b): r.together for r in got.collect()} == count(sets)
+    assert {(r.sha, r.a, r.b) for r in coupling.pairs(df, "sha", "path").collect()} == {(g, *p) for g in sets for p in itertools.combinations(sorted(sets[g]), 2)}
+    assert got.rdd.getNumPartitions() == -(-df.count() // 40)
+    for chronological in (False, True):
+        key = (lambda g: (at[g] is not None, at[g] or 0, g)) if chronological else (lambda g: (at[g] is None, -(at[g] or 0), g))
+        order = sorted(sets, key=key)
+        ends = {"early": order[: len(order) // 3], "late": order[len(order) - len(order) // 3 :]}
+        together, touches = {p: count(gs) for p, gs in ends.items()}, {p: __import__("collections").Counter(x for g in gs for x in sets[g]) for p, gs in ends.items()}
+        of = lambda p, a, b: together[p][a, b] / max(touches[p][a], touches[p][b], 1)
+        want = {(a, b): (pytest.approx(of("early", a, b)), pytest.approx(of("late", a, b))) for a, b in together["early"] | together["late"]}
+        s = coupling.stability(df.where("sha is not null"), "at", chronological=chronological)
+        assert {(r.a, r.b): (r.early, r.late) for r in s.collect()} == want
+        assert "WindowExec" not in s._jdf.queryExecution().toString() and "Exchange SinglePartition" not in s._jdf.queryExecution().executedPlan().toString()

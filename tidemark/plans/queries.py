@@ -191,7 +191,7 @@ SUPPLIED = "one as (select distinct l_orderkey g, l_suppkey x from lineitem)"
 
 @query("JN01_pairs", f"with {SUPPLIED} select a.x a, b.x b, count(*) together from one a join one b on a.g = b.g and a.x < b.x group by 1, 2")
 def pairs(spark, sf):
-    return coupling.pairs(commits(spark, sf, "l_suppkey"), "sha", "path").groupBy("a", "b").agg(F.count("*").alias("together"))
+    return coupling.together(commits(spark, sf, "l_suppkey"), "sha", "path")
 
 
 @query("TMP03_temporal_coupling", f"""with {SUPPLIED}, m as (select * from one where g in (select g from one group by g having count(*) >= 2)), t as (select x, count(*) n from m group by x), c as (select a.x a, b.x b, count(*) together from m a join m b on a.g = b.g and a.x < b.x group by 1, 2 having count(*) >= 3),
