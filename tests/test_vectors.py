@@ -356,3 +356,18 @@ def test_pairs_and_thirds_over_many_tasks_equal_brute_force(spark, monkeypatch):
         s = coupling.stability(df.where("sha is not null"), "at", chronological=chronological)
         assert {(r.a, r.b): (r.early, r.late) for r in s.collect()} == want
         assert "WindowExec" not in s._jdf.queryExecution().toString() and "Exchange SinglePartition" not in s._jdf.queryExecution().executedPlan().toString()
+
+
+def test_similar_compares_whole_sets_only_where_the_rarest_grams_leave_it_possible(spark):
+    import random
+
+    rng = random.Random(5)
+    base = [{int(rng.paretovariate(0.6)) for _ in range(rng.randrange(1, 40))} for _ in range(60)]
+    sets = dict(enumerate(base + [{x for x in s if rng.random() > 0.1} | {rng.randrange(50)} for s in base]))
+    df = spark.createDataFrame([(p, g) for p, s in sets.items() for g in s], "path int, gram long")
+    for least in (0.1, 0.5, 0.7, 1.0):
+        want = {(a, b): pytest.approx(j) for a in sets for b in sets if a < b and (j := len(sets[a] & sets[b]) / len(sets[a] | sets[b])) >= least}
+        found = clones.similar(df, least)
+        assert {(r.a, r.b): r.jaccard for r in found.collect()} == want and (want or least == 1.0)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "array_intersect" in plan if least >= 0.5 else "RepartitionByExpression" in plan
